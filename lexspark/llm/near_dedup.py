@@ -11,8 +11,9 @@ then its full sets are compared.
 No bucket is expanded into all its pairs.  Every bucket first links its members
 to one hub; connected members need nothing more.  Buckets that still hold several
 components are settled pair by pair between components if small.  Members of large
-ones go through an exact prefix filter on rare shingles first, again hub by hub,
-then pair by pair between components, so no link is capped away.
+ones go through an exact prefix filter on rare shingles first, again hub by hub;
+what is still open is settled pair by pair in small groups, and as products of
+blocks of sets in large ones, so no link is capped away.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .shingles import shingle_sets
 REGISTERS, BAND, MANTISSA = 160, 4, 10
 #: Texts of up to SHORT shingles are dealt by hash prefixes. Buckets of up to SMALL nodes are settled pair by pair.
 SHORT, SMALL, HUB_ROUNDS = 256, 16, 3
+#: Sets and hashes of a block, at most (one set may be larger).
+BLOCK, BLOCK_HASHES = 128, 1 << 17
 #: Linked if 100 * intersection >= 75 * union.
 PERCENT = 75
 _SIGMAS = 6
@@ -171,6 +174,10 @@ class _Links:
         likely = self.scratch.table(p.select("a", "b", "sa", "na", "sb", "nb").mapInArrow(_likely, "a long, b long"), f"likely-{self.round}")
         sets = lambda x: self.sets.select(F.col("nid").alias(x), F.col("hashes").alias(f"h{x}"))
         new = self.scratch.table(likely.join(sets("b"), "b").join(sets("a"), "a").select("a", "b", "ha", "hb").mapInArrow(_linked, "a long, b long"), f"edges-{self.round}")
+        self.take(new)
+
+    def take(self, new: DataFrame) -> None:
+        """Verified links join the edges, and components are renewed."""
         self.edges = new if self.edges is None else self.edges.unionByName(new)
         self.labels = components(self.edges, self.scratch, f"labels-{self.round}")
 
@@ -180,13 +187,21 @@ class _Links:
             return members.withColumn("comp", F.col("nid"))
         return members.join(self.labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
 
-    def open(self, members: DataFrame, keys: list[str], name: str) -> DataFrame:
-        """members (keys, nid, comp) of groups that hold several components, with size and a hub of the highest one."""
+    def open(self, members: DataFrame, keys: list[str], name: str, turn: int = 0) -> DataFrame:
+        """members (keys, nid, weight) of groups that hold several components, with comp, the group's size and a hub.
+
+        weight says how much of its groups a node shares, so an original outweighs its
+        copies.  The hub is a group's heaviest node; on later turns it is the heaviest,
+        then any node, outside of that one's component.
+        """
         m = self.scratch.table(self.of(members), f"{name}-members-{self.round}")
-        top = F.max(F.struct("comp", (-F.col("nid")).alias("least")))
-        stats = m.groupBy(*keys).agg(F.min("comp").alias("lo"), top.alias("top"), F.count(F.lit(1)).alias("size"))
-        stats = stats.where("lo < top.comp").select(*keys, (-F.col("top.least")).alias("hub"), F.col("top.comp").alias("hub_comp"), "size")
-        return m.join(self.scratch.table(stats, f"{name}-groups-{self.round}"), keys)
+        heaviest = lambda w: F.max(F.struct(w, (-F.col("nid")).alias("least"), "comp"))
+        stats = m.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), heaviest("weight").alias("top"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+        m = self.scratch.table(m.join(self.scratch.table(stats.select(*keys, "top", "size"), f"{name}-groups-{self.round}"), keys), f"{name}-open-{self.round}")
+        if turn:
+            by = F.col("weight") if turn == 1 else F.xxhash64("nid", F.lit(turn)).alias("weight")
+            m = m.drop("top").join(self.scratch.table(m.where("comp <> top.comp").groupBy(*keys).agg(heaviest(by).alias("top")), f"{name}-hubs-{self.round}"), keys)
+        return m.withColumns({"hub": -F.col("top.least"), "hub_comp": F.col("top.comp")}).drop("top")
 
 
 def _hub_pairs(m: DataFrame) -> DataFrame:
@@ -195,19 +210,91 @@ def _hub_pairs(m: DataFrame) -> DataFrame:
 
 def _cross_pairs(m: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of a group's members in different components."""
-    x, y = m.select(*keys, F.col("nid").alias("a"), F.col("comp").alias("ca")), m.select(*keys, F.col("nid").alias("b"), F.col("comp").alias("cb"))
-    return x.join(y, keys).where("a < b and ca <> cb").select("a", "b")
+    x, y = (m.select(*keys, F.col("nid").alias(v), F.col("comp").alias(f"c{v}"), F.col("n").alias(f"n{v}")) for v in "ab")
+    return x.join(y, keys).where(f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
+
+
+def _blocks(batches):
+    """(nid, comp, hashes), neighbours together -> blocks of up to BLOCK sets or BLOCK_HASHES hashes."""
+    nid, comp, sets, size = [], [], [], 0
+
+    def block():
+        fields = [pa.array([x], t) for x, t in ((nid, pa.list_(pa.int64())), (comp, pa.list_(pa.int64())), ([len(x) for x in sets], pa.list_(pa.int32())))]
+        return pa.RecordBatch.from_arrays([*fields, pa.array([np.concatenate(sets).tobytes()], pa.binary())], ["nids", "comps", "sizes", "hashes"])
+
+    for b in batches:
+        values, offsets = b.column(2).values.to_numpy(), b.column(2).offsets.to_numpy()
+        for i, (x, c) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            own = values[offsets[i] : offsets[i + 1]]
+            if nid and (len(nid) >= BLOCK or size + len(own) > BLOCK_HASHES):
+                yield block()
+                nid, comp, sets, size = [], [], [], 0
+            nid.append(x)
+            comp.append(c)
+            sets.append(own)
+            size += len(own)
+    if nid:
+        yield block()
+
+
+def _tile_links(batches):
+    """Rows of two blocks -> the linked pairs between different components, from the product of their incidence matrices."""
+    for b in batches:
+        for r in b.to_pylist():
+            x, y = np.frombuffer(r["ha"], np.int64), np.frombuffer(r["hb"], np.int64)
+            sa, sb = np.array(r["sa"]), np.array(r["sb"])
+            common = np.intersect1d(x, y)
+            both = np.zeros((len(sa), len(sb)), np.float32)
+            rows_a, rows_b = np.repeat(np.arange(len(sa)), sa), np.repeat(np.arange(len(sb)), sb)
+            for k in range(0, len(common), 8192):
+                part = common[k : k + 8192]
+                m = []
+                for v, rows, n in ((x, rows_a, len(sa)), (y, rows_b, len(sb))):
+                    at = np.searchsorted(part, v)
+                    hit = at < len(part)
+                    hit[hit] = part[at[hit]] == v[hit]
+                    one = np.zeros((n, len(part)), np.float32)
+                    one[rows[hit], at[hit]] = 1
+                    m.append(one)
+                both += m[0] @ m[1].T
+            both = both.astype(np.int64)
+            ok = (100 * both >= PERCENT * (sa[:, None] + sb[None, :] - both)) & (both > 0) & (np.array(r["ca"])[:, None] != np.array(r["cb"])[None, :])
+            i, j = np.nonzero(ok)
+            if len(i):
+                p, q = np.array(r["na"])[i], np.array(r["nb"])[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64())], ["a", "b"])
+
+
+def _tiled_pairs(m: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """m: (key, nid, comp, size), members of large groups -> the linked pairs of a group across components.
+
+    Nodes are sorted by the most frequent of their keys, so a group fills few blocks;
+    blocks that share a key meet once, whatever the number of pairs between them.
+    """
+    own = scratch.table(m.groupBy("nid", "comp").agg(F.max(F.struct("size", "key")).alias("top")), "tile-nodes")
+    ordered = own.join(sets, "nid").select("nid", "comp", "hashes", "top").repartitionByRange("top", "nid").sortWithinPartitions("top", "nid")
+    blocks = ordered.select("nid", "comp", "hashes").mapInArrow(_blocks, "nids array<long>, comps array<long>, sizes array<int>, hashes binary")
+    blocks = scratch.table(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    at = scratch.table(m.join(blocks.select("block", F.explode("nids").alias("nid")), "nid").select("key", "block").distinct(), "block-keys")
+    met = at.join(at.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct()
+    side = lambda of, v: blocks.select(F.col("block").alias(of), F.col("nids").alias(f"n{v}"), F.col("comps").alias(f"c{v}"), F.col("sizes").alias(f"s{v}"), F.col("hashes").alias(f"h{v}"))
+    return met.join(side("block", "a"), "block").join(side("other", "b"), "other").drop("block", "other").mapInArrow(_tile_links, "a long, b long")
 
 
 def _rare_prefixes(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """sets: (nid, hashes) -> (key, nid): each set's rarest shingles, as many as any partner must share one of, that others have too."""
+    """sets: (nid, hashes) -> (key, nid, n, df): each set's rarest shingles, as many as any partner must share one of, that others have too."""
     shingles = sets.select("nid", F.size("hashes").alias("n"), F.explode("hashes").alias("key"))
     common = scratch.table(shingles.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
     known = shingles.join(common, "key")
     # shingles of one text only come first in the order and take their share of the prefix
     ranked = known.groupBy("nid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("own"))
     length = F.expr(f"int(n - (n * {PERCENT} + 99) div 100 + 1 - (n - size(own)))")
-    return ranked.select("nid", F.explode(F.slice("own", F.lit(1), F.greatest(length, F.lit(0)))).alias("k")).select(F.col("k.key").alias("key"), "nid")
+    return ranked.select("nid", "n", F.explode(F.slice("own", F.lit(1), F.greatest(length, F.lit(0)))).alias("k")).select(F.col("k.key").alias("key"), "nid", "n", "k.df")
+
+
+def _weighed(members: DataFrame, size_col: str) -> DataFrame:
+    """members with weight, the summed sizes of their node's groups, in place of the sizes."""
+    return members.join(members.groupBy("nid").agg(F.sum(size_col).alias("weight")), "nid").drop(size_col)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,8 +314,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = scratch.table(first.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     rows = scratch.table(nodes.select("nid", "n", "sketch", "short").mapInArrow(_dealt, "band int, key long, nid long"), "dealt")
     keys = ["band", "key"]
-    shared = scratch.table(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "shared")
-    members = scratch.table(rows.join(shared, keys), "members")
+    shared = scratch.table(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
+    members = scratch.table(rows.join(shared, keys), "shared-rows")
+    members = scratch.table(_weighed(members, "size").join(nodes.select("nid", "n"), "nid"), "members")
     scratch.drop("dealt")
     wanted = members.select("nid").distinct().join(nodes.select("nid", "digest", "min_doc"), "nid")
     text = d.join(wanted.withColumnRenamed("min_doc", "at"), F.col("doc_id").eqNullSafe(F.col("at"))).select("nid", "digest", "text")
@@ -240,10 +328,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     large = links.of(left.where(f"size > {SMALL}").drop("comp")).groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     hard = scratch.table(left.join(large, keys, "left_semi").select("nid").distinct(), "hard")
     if hard.limit(1).count():
-        tokens = scratch.table(_rare_prefixes(sets.join(hard, "nid"), scratch), "tokens")
+        tokens = scratch.table(_rare_prefixes(sets.join(hard, "nid"), scratch), "token-rows")
+        tokens = scratch.table(_weighed(tokens, "df"), "tokens")
         for i in range(HUB_ROUNDS):
-            links.add(_hub_pairs(links.open(tokens, ["key"], f"token{i}")))
-        links.add(_cross_pairs(links.open(tokens, ["key"], "rest"), ["key"]))
+            links.add(_hub_pairs(links.open(tokens, ["key"], f"token{i}", i)))
+        rest = scratch.table(links.open(tokens, ["key"], "rest"), "rest")
+        links.add(_cross_pairs(rest.where(f"size <= {SMALL}"), ["key"]))
+        tiled = scratch.table(_tiled_pairs(rest.where(f"size > {SMALL}"), sets, scratch).distinct(), "tiled")
+        links.round += 1
+        links.take(tiled)
     member = scratch.table(links.of(nodes.select("nid", "digest", "min_doc")), "member")
     least = scratch.table(member.groupBy("comp").agg(F.min("min_doc").alias("component_id")), "least")
     by_digest = scratch.table(member.join(least, "comp").select("digest", "component_id"), "by-digest")
