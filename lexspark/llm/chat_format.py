@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -66,7 +66,15 @@ def json_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     j = F.col(json_col)
     arrays = sorted({x["each"][0] for x in LAYOUTS.values() if "each" in x})
     known = sorted({p for x in LAYOUTS.values() for p in _paths(x)})
-    inner = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(j, f"$.{a}[0]")), F.array().cast("array<string>")), lambda k, a=a: F.concat(F.lit(f"{a}[]."), k)) for a in arrays]
+
+    def inside(array):
+        keys = F.coalesce(F.json_object_keys(F.get_json_object(j, f"$.{array}[0]")), F.array().cast("array<string>"))
+        return F.transform(keys, lambda k: F.concat(F.lit(f"{array}[]."), k))
+
+    def message(role, text):
+        return lambda x: F.struct(F.coalesce(role_map[x[role]], x[role], F.lit("")).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+
+    inner = [inside(a) for a in arrays]
     paths = F.array_sort(F.array_intersect(F.concat(F.coalesce(F.json_object_keys(j), F.array().cast("array<string>")), *inner), F.array(*map(F.lit, known))))
     print_ = F.sha2(F.array_join(paths, "\n"), 256)
     d = df.select(F.col(id_col).alias("conv_id"), j.alias("j"), print_.alias("print"))
@@ -76,7 +84,7 @@ def json_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
         if "each" in layout:
             array, role, text = layout["each"]
             rows = F.from_json(F.get_json_object("j", f"$.{array}"), f"array<struct<`{role}`:string,`{text}`:string>>")
-            made = F.transform(rows, lambda x, r=role, t=text: F.struct(F.coalesce(role_map[x[r]], x[r], F.lit("")).alias("role"), F.coalesce(x[t], F.lit("")).alias("text")))
+            made = F.transform(rows, message(role, text))
         else:
             made = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(F.get_json_object("j", f"$.{p}"), F.lit("")).alias("text")) for r, p in layout["turns"]))
         turns = F.when(F.col("print") == fingerprint(_paths(layout)), made).otherwise(turns)
