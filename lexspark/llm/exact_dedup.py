@@ -21,17 +21,23 @@ from .common import Scratch, table
 PART = 1 << 20
 
 
+def _place(n, pos):
+    """Number of a row's names and the place among them in one column, so that both uses of a shuffle need the same columns and share it."""
+    return F.shiftleft(n.cast("long"), 32) + pos.cast("long")
+
+
 def _named(members: DataFrame, keys: list[str], salts: int) -> DataFrame:
-    """members: (row, pos, n, *keys) -> (row, pos, n, name), equal keys having equal names."""
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("row", "pos"), F.lit(salts)))
-    own = Window.partitionBy(*keys, "salt").orderBy("row", "pos")
-    local = salted.withColumns({"rep_row": F.first("row").over(own), "rep_pos": F.first("pos").over(own)})
-    reps = local.where("row = rep_row and pos = rep_pos").select("row", "pos", *keys)
-    ordered = reps.repartition(*keys).sortWithinPartitions(*keys, "row", "pos").withColumn("ordinal", F.monotonically_increasing_id())
+    """members: (row, place, *keys) -> (row, pos, n, name), equal keys having equal names."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("row", "place"), F.lit(salts)))
+    own = Window.partitionBy(*keys, "salt").orderBy("row", "place")
+    local = salted.withColumns({"rep_row": F.first("row").over(own), "rep_place": F.first("place").over(own)})
+    reps = local.where("row = rep_row and place = rep_place").select("row", "place", *keys)
+    ordered = reps.repartition(*keys).sortWithinPartitions(*keys, "row", "place").withColumn("ordinal", F.monotonically_increasing_id())
     names = ordered.select(
-        F.col("row").alias("rep_row"), F.col("pos").alias("rep_pos"), F.first("ordinal").over(Window.partitionBy(*keys).orderBy("row", "pos")).alias("name")
+        F.col("row").alias("rep_row"), F.col("place").alias("rep_place"), F.first("ordinal").over(Window.partitionBy(*keys).orderBy("row", "place")).alias("name")
     )
-    return local.select("row", "pos", "n", "rep_row", "rep_pos").join(names, ["rep_row", "rep_pos"]).select("row", "pos", "n", "name")
+    out = local.select("row", "place", "rep_row", "rep_place").join(names, ["rep_row", "rep_place"])
+    return out.select("row", F.expr("int(place & 4294967295)").alias("pos"), F.shiftright("place", 32).cast("int").alias("n"), "name")
 
 
 def text_identities(rows: DataFrame, scratch: Scratch, block_bytes: int = 1024, salts: int = 64) -> DataFrame:
@@ -41,7 +47,7 @@ def text_identities(rows: DataFrame, scratch: Scratch, block_bytes: int = 1024,
     # in two steps, so that a giant text isn't copied once a block
     parts = raw.select("row", F.expr(f"int(greatest(length(raw) - 1, 0) div {block_bytes}) + 1").alias("n"), F.posexplode(cut("raw", PART)).alias("part", "piece"))
     blocks = parts.select("row", "n", "part", F.posexplode(cut("piece", block_bytes)).alias("at", "block"))
-    blocks = blocks.select("row", (F.col("part") * (PART // block_bytes) + F.col("at")).alias("pos"), "n", "block")
+    blocks = blocks.select("row", _place(F.col("n"), F.col("part") * (PART // block_bytes) + F.col("at")).alias("place"), "block")
     level, current = 0, scratch.table(_named(blocks, ["block"], salts), "names-0")
     done = [current.where("n = 1").select("row", F.lit(0).alias("level"), "name")]
     longest = current.agg(F.max("n")).first()[0] or 0
@@ -51,6 +57,7 @@ def text_identities(rows: DataFrame, scratch: Scratch, block_bytes: int = 1024,
         pairs = current.where("n > 1").groupBy("row", F.expr("int(pos div 2)").alias("pos")).agg(
             F.expr("int((max(n) + 1) div 2)").alias("n"), at(0).alias("left"), F.coalesce(at(1), F.lit(-1)).alias("right")
         )
+        pairs = pairs.select("row", _place(F.col("n"), F.col("pos")).alias("place"), "left", "right")
         current = scratch.table(_named(pairs, ["left", "right"], salts), f"names-{level}")
         done.append(current.where("n = 1").select("row", F.lit(level).alias("level"), "name"))
         longest = (longest + 1) // 2
