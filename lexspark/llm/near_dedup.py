@@ -161,13 +161,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 class _Links:
-    """Verified links so far, and how to verify more."""
+    """Components of the verified links so far, and how to verify more."""
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, scratch: Scratch):
-        self.nodes, self.sets, self.scratch, self.edges, self.labels, self.round = nodes.select("nid", "n", "sketch"), sets, scratch, None, None, 0
+        self.nodes, self.sets, self.scratch, self.labels, self.round = nodes.select("nid", "n", "sketch"), sets, scratch, None, 0
 
     def add(self, pairs: DataFrame) -> None:
-        """pairs: (a, b); those that are linked join the edges, and components are renewed."""
+        """pairs: (a, b); components follow those that are linked."""
         self.round += 1
         side = lambda x: self.nodes.select(F.col("nid").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
         p = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
@@ -177,9 +177,19 @@ class _Links:
         self.take(new)
 
     def take(self, new: DataFrame) -> None:
-        """Verified links join the edges, and components are renewed."""
-        self.edges = new if self.edges is None else self.edges.unionByName(new)
-        self.labels = components(self.edges, self.scratch, f"labels-{self.round}")
+        """Verified links between components join these; earlier components count as single nodes, so no earlier link is read again."""
+        if self.labels is not None:
+            label = lambda x: self.labels.select(F.col("nid").alias(x), F.col("comp").alias(f"c{x}"))
+            lifted = new.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            new = self.scratch.table(lifted.where("a <> b").distinct(), f"lifted-{self.round}")
+        if not new.limit(1).count():
+            return
+        up = components(new, self.scratch, f"labels-{self.round}")
+        if self.labels is not None:
+            moved = self.labels.join(up.select(F.col("nid").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("nid", F.coalesce("up", "comp").alias("comp"))
+            fresh = up.join(self.labels.select("nid"), "nid", "left_anti").select("nid", "comp")
+            up = self.scratch.table(moved.unionByName(fresh), f"all-labels-{self.round}")
+        self.labels = up
 
     def of(self, members: DataFrame) -> DataFrame:
         """members with comp: their component so far."""
