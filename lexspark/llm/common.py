@@ -62,5 +62,7 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        self._path(f"{self.root}/{name}", lambda fs, p: fs.delete(p, True))
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing will read again."""
+        for name in names:
+            self._path(f"{self.root}/{name}", lambda fs, p: fs.delete(p, True))

@@ -157,6 +157,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         scratch.drop(f"{name}-{last}")
         labels, last = new.select("nid", "comp"), last + 1
         if not changed:
+            scratch.drop(f"{name}-both")
             return labels
 
 
@@ -175,6 +176,7 @@ class _Links:
         sets = lambda x: self.sets.select(F.col("nid").alias(x), F.col("hashes").alias(f"h{x}"))
         new = self.scratch.table(likely.join(sets("b"), "b").join(sets("a"), "a").select("a", "b", "ha", "hb").mapInArrow(_linked, "a long, b long"), f"edges-{self.round}")
         self.take(new)
+        self.scratch.drop(f"likely-{self.round}", f"edges-{self.round}")
 
     def take(self, new: DataFrame) -> None:
         """Verified links between components join these; earlier components count as single nodes, so no earlier link is read again."""
@@ -189,6 +191,7 @@ class _Links:
             moved = self.labels.join(up.select(F.col("nid").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("nid", F.coalesce("up", "comp").alias("comp"))
             fresh = up.join(self.labels.select("nid"), "nid", "left_anti").select("nid", "comp")
             up = self.scratch.table(moved.unionByName(fresh), f"all-labels-{self.round}")
+            self.scratch.drop(f"lifted-{self.round}")
         self.labels = up
 
     def of(self, members: DataFrame) -> DataFrame:
@@ -208,6 +211,7 @@ class _Links:
         heaviest = lambda w: F.max(F.struct(w, (-F.col("nid")).alias("least"), "comp"))
         stats = m.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), heaviest("weight").alias("top"), F.count(F.lit(1)).alias("size")).where("lo < hi")
         m = self.scratch.table(m.join(self.scratch.table(stats.select(*keys, "top", "size"), f"{name}-groups-{self.round}"), keys), f"{name}-open-{self.round}")
+        self.scratch.drop(f"{name}-members-{self.round}", f"{name}-groups-{self.round}")
         if turn:
             by = F.col("weight") if turn == 1 else F.xxhash64("nid", F.lit(turn)).alias("weight")
             m = m.drop("top").join(self.scratch.table(m.where("comp <> top.comp").groupBy(*keys).agg(heaviest(by).alias("top")), f"{name}-hubs-{self.round}"), keys)
@@ -327,22 +331,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = scratch.table(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     members = scratch.table(rows.join(shared, keys), "shared-rows")
     members = scratch.table(_weighed(members, "size").join(nodes.select("nid", "n"), "nid"), "members")
-    scratch.drop("dealt")
+    scratch.drop("dealt", "shared", "shared-rows")
     wanted = members.select("nid").distinct().join(nodes.select("nid", "digest", "min_doc"), "nid")
     text = d.join(wanted.withColumnRenamed("min_doc", "at"), F.col("doc_id").eqNullSafe(F.col("at"))).select("nid", "digest", "text")
     sets = scratch.table(text.mapInArrow(_sets_of, "nid long, hashes array<long>"), "sets-read")
     links = _Links(nodes, sets, scratch)
     links.add(_hub_pairs(links.open(members, keys, "bucket")))
-    left = scratch.table(links.open(members, keys, "bucket"), "left")
+    scratch.drop("bucket-open-0")
+    left = links.open(members, keys, "bucket")
+    scratch.drop("members")
     links.add(_cross_pairs(left.where(f"size <= {SMALL}"), keys))
     large = links.of(left.where(f"size > {SMALL}").drop("comp")).groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     hard = scratch.table(left.join(large, keys, "left_semi").select("nid").distinct(), "hard")
     if hard.limit(1).count():
         tokens = scratch.table(_rare_prefixes(sets.join(hard, "nid"), scratch), "token-rows")
         tokens = scratch.table(_weighed(tokens, "df"), "tokens")
+        scratch.drop("common", "token-rows")
         for i in range(HUB_ROUNDS):
+            round_before = links.round
             links.add(_hub_pairs(links.open(tokens, ["key"], f"token{i}", i)))
-        rest = scratch.table(links.open(tokens, ["key"], "rest"), "rest")
+            scratch.drop(f"token{i}-open-{round_before}", f"token{i}-hubs-{round_before}")
+        rest = links.open(tokens, ["key"], "rest")
         links.add(_cross_pairs(rest.where(f"size <= {SMALL}"), ["key"]))
         tiled = scratch.table(_tiled_pairs(rest.where(f"size > {SMALL}"), sets, scratch).distinct(), "tiled")
         links.round += 1
