@@ -171,9 +171,12 @@ _PART = "SELECT p_partkey, (p_partkey % 6)::INT AS law, p_partkey // 6 + 1 AS ar
 
 
 def _articles(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").where("p_partkey < 6000").select("p_partkey", (F.col("p_partkey") % 6).cast("int").alias("law"), F.expr("p_partkey div 6 + 1").alias("article"))
+    """All parts as devices of six laws; an article of five digits or more is dotted, as the grammar reads it."""
+    n = F.expr("p_partkey div 6 + 1")
+    article = F.when(n > 9999, T.dotted(n)).otherwise(n.cast("string"))
+    p = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 6).cast("int").alias("law"), article.alias("article"))
     pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("law") + 1)
-    heads = F.concat(F.lit("Artigo "), F.col("article").cast("string"), F.lit(" "), pick(_LAW_HEADS), F.lit("\nTexto"))
+    heads = F.concat(F.lit("Artigo "), F.col("article"), F.lit(" "), pick(_LAW_HEADS), F.lit("\nTexto"))
     return p, pick, p.select((F.col("p_partkey") + 9000000000).alias("id"), F.lit(None).cast("string").alias("court"), F.lit("dispositivo").alias("nature"), heads.alias("text"))
 
 
@@ -189,7 +192,7 @@ _LAW_LIST = "list_value(" + ", ".join(f"'{x}'" for x in _LAWS) + ")[law + 1]"
 def statute_verdicts(spark, sf_dir):
     """Names in full, abbreviated, numbered and misread; every fifth article isn't in the registry."""
     p, pick, registry = _articles(spark, sf_dir)
-    d = p.select(F.col("p_partkey").cast("string").alias("document_id"), F.concat(F.lit("Nos termos, art. ").substr(1, 12), F.lit("art. "), F.col("article").cast("string"), F.lit(" do "), pick(_LAWS), F.lit(".")).alias("raw"))
+    d = p.select(F.col("p_partkey").cast("string").alias("document_id"), F.concat(F.lit("Nos termos, art. ").substr(1, 12), F.lit("art. "), F.col("article"), F.lit(" do "), pick(_LAWS), F.lit(".")).alias("raw"))
     return verify(d, build(registry.where("(id - 9000000000) % 5 <> 0"))).select("document_id", "kind", "end", "surface", "verdict", "canonical_id")
 
 
@@ -203,7 +206,8 @@ def statute_digit_guard(spark, sf_dir):
 
 
 def _sumulas(spark, sf_dir):
-    s = _t(spark, sf_dir, "supplier").where("s_suppkey < 2000").select("s_suppkey", F.expr("s_suppkey div 5 + 1").alias("number"), F.element_at(F.array(*map(F.lit, fixed.COURTS)), (F.col("s_suppkey") % 5 + 1).cast("int")).alias("court"))
+    """All suppliers as súmulas of five courts; a number has four digits at most, so keys up to 49,994 have one of their own."""
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.expr("s_suppkey div 5 + 1").alias("number"), F.element_at(F.array(*map(F.lit, fixed.COURTS)), (F.col("s_suppkey") % 5 + 1).cast("int")).alias("court"))
     r = s.where("s_suppkey % 3 <> 0").select((F.col("s_suppkey") + 6000000000).alias("id"), F.col("court"), F.lit("sumula").alias("nature"), F.concat(F.lit("Súmula n. "), F.col("number").cast("string"), F.lit(" do "), "court", F.lit(" Texto")).alias("text"))
     return s, r
 

@@ -20,7 +20,7 @@ _WITH_UF = rf"(?iU){_N}{_PLAIN}\s*[-–—/(]?\s*({'|'.join(fixed.UFS)})\b"
 _WITH_STATE = rf"\b([0-9]{{1,3}}(?:\.[0-9]{{3}})+|[0-9]{{3,7}})\s+({'|'.join(fixed.STATES)})\b"
 _ANY = rf"(?iU){_N}([0-9]{{1,3}}(?:\.[0-9]{{3}})+|[0-9]{{4,9}})"
 _SUMULA = r"(?iU)S[uú]mula\s+(Vinculante\s+)?n?[ºo°.]{0,2}\s*([0-9]{1,4})(?:\s+d[oe]\s+(STF|STJ|STM|TSE|TST))?"
-_DEVICE = r"(?iU)Artigo\s+([0-9]{1,4})[ºo°]?\s+d[ao]\s+(.+?)(?:\n|$)"
+_DEVICE = r"(?iU)Artigo\s+([0-9]{1,4}(?:\.[0-9]{3})*)[ºo°]?\s+d[ao]\s+(.+?)(?:\n|$)"
 _LAW_NUMBER = r"(?iU)n?[ºo°.]{0,2}\s*([0-9]{1,3}(?:\.[0-9]{3})*)(?:,\s*de\s+.*?\b([0-9]{4}))?"
 
 
@@ -74,7 +74,7 @@ def _by_name(names):
 
 def statute_keys(devices: DataFrame) -> DataFrame:
     head = F.substring("text", 1, 200)
-    d = devices.select("id", F.regexp_extract(head, _DEVICE, 1).alias("article"), F.regexp_extract(head, _DEVICE, 2).alias("law")).where("article <> ''")
+    d = devices.select("id", F.regexp_replace(F.regexp_extract(head, _DEVICE, 1), r"\.", "").alias("article"), F.regexp_extract(head, _DEVICE, 2).alias("law")).where("article <> ''")
     number, year = F.regexp_replace(F.regexp_extract("law", _LAW_NUMBER, 1), r"\.", ""), F.regexp_extract("law", _LAW_NUMBER, 2)
     named = F.create_map(*(F.lit(x) for kv in fixed.NAMED_BY_NUMBER.items() for x in kv))
     folded, full = T.fold(F.col("law")), F.concat(number, F.lit("/"), year)
