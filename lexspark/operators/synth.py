@@ -39,11 +39,21 @@ def offsets(segments: DataFrame, by: list[str], order: list[str], text: str = "t
 
 
 def add_noise(texts: DataFrame, rate: float = 0.02, seed: int = 1, text: str = "text") -> DataFrame:
-    """Misread letters of prose at a given rate, each by a hash of its place; digits stay."""
-    h = lambda i: F.pmod(F.xxhash64(F.col(text), i, F.lit(seed)), F.lit(10_000)) / 10_000.0
+    """Misread letters of prose at a given rate, each by a hash of its place; digits stay.
+
+    Adds noisy and edits, the edit distance summed over the places of the whole text.
+    The text is hashed once, so work is linear in its length.
+    """
     pairs = F.create_map(*(F.lit(x) for kv in CONFUSIONS for x in kv))
-    swapped = F.transform(F.split(F.col(text), ""), lambda c, i: F.when(h(i) < rate, F.coalesce(pairs[c], c)).otherwise(c))
-    return texts.withColumn("noisy", F.array_join(swapped, ""))
+
+    def swapped(key):
+        h = lambda i: F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(10_000)) / 10_000.0
+        return F.transform(F.split(F.col(text), ""), lambda c, i: F.struct(c.alias("was"), F.when(h(i) < rate, F.coalesce(pairs[c], c)).otherwise(c).alias("now")))
+
+    places = F.element_at(F.transform(F.array(F.xxhash64(text)), swapped), 1)
+    out = texts.withColumn("__places", places)
+    edits = F.aggregate("__places", F.lit(0), lambda n, p: n + F.when(p["was"] == p["now"], 0).otherwise(F.levenshtein(p["was"], p["now"])))
+    return out.withColumns({"noisy": F.array_join("__places.now", ""), "edits": edits}).drop("__places")
 
 
 def absent_numbers(wanted: DataFrame, keys: DataFrame) -> DataFrame:

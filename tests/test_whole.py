@@ -1,8 +1,10 @@
 """Queries do the whole job: no row, text or step is left out."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexspark import catalog
+from lexspark.operators import synth
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +33,13 @@ def test_sumulas_of_all_suppliers(spark, keys, name):
     want = con.execute(sql).fetchall()
     got = [(r.document_id, r.verdict, r.canonical_id) for r in catalog.QUERIES[name](spark, keys[0]).collect()]
     assert len(want) == 31 and sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_ocr_noise_counts_whole_texts(spark, tmp_path):
+    texts = ["x" * 600 + "e" * 4000, "x" * 600, "", None, "Lorem ipsum dolor sit amet, eram 123. " * 40]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    edits = {r.doc_id: r.edits for r in catalog.QUERIES["ocr_noise"](spark, str(tmp_path)).collect()}
+    noisy = {r.doc_id: r for r in synth.add_noise(spark.read.parquet(f"{tmp_path}/documents.parquet")).withColumn("exact", F.levenshtein("text", "noisy")).collect()}
+    assert edits[0] > 40 and edits[1] == 0 and not edits[2] and edits[3] is None
+    assert edits[0] == noisy[0].noisy[600:].count("c") and noisy[0].noisy[:600] == "x" * 600 and len(noisy[0].noisy) == 4600
+    assert 0 < edits[4] == noisy[4].exact
