@@ -473,6 +473,17 @@ def near_sentences(spark, sf_dir):
     return lengths.join(other, "len").where(T.distance(F.col("s"), F.col("t")) <= 0.16).select("item_id", "other")
 
 
+@_query("""WITH s AS (SELECT item_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS s FROM benchmark)
+SELECT a.item_id, b.item_id AS other FROM s a JOIN s b ON length(b.s) > 0 AND levenshtein(a.s, b.s)::DOUBLE / length(b.s) <= 0.16""")
+def near_texts(spark, sf_dir):
+    """The join of near_sentences over whole benchmark texts; lengths by buckets of a fifth, of which neighbours meet."""
+    s = _t(spark, sf_dir, "benchmark").select("item_id", T.phrase(F.col("text")).alias("s")).where("s <> ''")
+    bucket = F.floor(F.log(F.length("s").cast("double")) / F.log(F.lit(1.2)))
+    near = s.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    other = s.select(F.col("item_id").alias("other"), F.col("s").alias("t"), bucket.alias("bucket"))
+    return near.join(other, "bucket").where(T.distance(F.col("s"), F.col("t")) <= 0.16).select("item_id", "other")
+
+
 @_query()
 def ocr_noise(spark, sf_dir):
     return synth.add_noise(_t(spark, sf_dir, "documents").select("doc_id", "text"), 0.02).select("doc_id", "edits")

@@ -43,3 +43,11 @@ def test_ocr_noise_counts_whole_texts(spark, tmp_path):
     assert edits[0] > 40 and edits[1] == 0 and not edits[2] and edits[3] is None
     assert edits[0] == noisy[0].noisy[600:].count("c") and noisy[0].noisy[:600] == "x" * 600 and len(noisy[0].noisy) == 4600
     assert 0 < edits[4] == noisy[4].exact
+
+
+def test_near_texts_reads_past_the_opening(spark, tmp_path):
+    opening = "a mesma abertura de sessenta letras em todos os textos da lista "
+    texts = [opening + "b" * 200, opening + "c" * 200, "x" * 20 + opening[20:] + "b" * 200, "b" * 50]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.item_id, r.other) for r in catalog.QUERIES["near_texts"](spark, str(tmp_path)).collect()}
+    assert found == {(0, 0), (1, 1), (2, 2), (3, 3), (0, 2), (2, 0)}
