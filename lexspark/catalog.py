@@ -292,10 +292,16 @@ def occupancy_fold(spark, sf_dir):
     return rows.select("user_id", F.explode(first_come(F.col("r"))).alias("x")).select("user_id", "x.event_id")
 
 
-def _verified(spark, sf_dir):
+def _verified_with(spark, sf_dir):
     o = _orders(spark, sf_dir)
     d = _docs(o, F.when(F.col("o_orderkey") % 10 == 9, "Nada consta.").otherwise(_cited("Conforme o REsp nº ")))
-    return d, verify(d, build(_registry(o.where("o_orderstatus <> 'O'"), _heading())))
+    index = build(_registry(o.where("o_orderstatus <> 'O'"), _heading()))
+    return d, index, verify(d, index)
+
+
+def _verified(spark, sf_dir):
+    d, _, c = _verified_with(spark, sf_dir)
+    return d, c
 
 
 _SUBMITTED = f"""SELECT o_orderkey::VARCHAR AS documento_id, CASE WHEN o_orderkey % 10 = 9 THEN '-' ELSE '11,' || (11 + length('REsp nº ' || d || '/' || uf)) || ',' ||
@@ -499,7 +505,7 @@ def train_calibration(spark, sf_dir):
 
 @_query()
 def tagger_fusion(spark, sf_dir):
-    """A simulated tagger over half of the citations' truth, fused with the rules' output and classified."""
-    d, c = _verified(spark, sf_dir)
+    """A simulated tagger over the citations' truth, merged with half of the rules' output and resolved."""
+    d, index, c = _verified_with(spark, sf_dir)
     half = c.where(F.pmod(F.xxhash64("document_id"), F.lit(2)) == 0)
-    return tagger.classify_spans(d, tagger.fuse(half, tagger.simulate(c))).select("document_id", "raw_start", "raw_end", "kind", "family")
+    return tagger.merge(d, half, tagger.simulate(c), index).select(*_CASE_COLS)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lexspark import fixed
 
 from .arbitrate import first_come
+from .index import Index
+from .resolve import resolve
 
 
 def windows(docs: DataFrame, size: int = 900, step: int = 700) -> DataFrame:
@@ -65,8 +67,12 @@ def fuse(citations: DataFrame, tagged: DataFrame, strict: bool = True, least: fl
     return free.select("document_id", F.explode(first_come(F.col("t"), hit)).alias("s")).select("document_id", "s.*")
 
 
-def classify_spans(docs: DataFrame, spans: DataFrame, margin: int = fixed.FUSION_MARGIN) -> DataFrame:
-    """Candidates for spans that a tagger gave, read with a margin on both sides; those that alone name nothing are dropped unless vague."""
+def classify_spans(docs: DataFrame, spans: DataFrame, margin: int = fixed.FUSION_MARGIN, strict: bool = True) -> DataFrame:
+    """Candidates for spans that a tagger gave, read with a margin on both sides, as surface.
+
+    Strict: those that alone name nothing are dropped unless vague.  own_bare is the
+    number of a súmula without a court that a span alone names.
+    """
     from .detect import SCHEMA
 
     s = spans.join(docs.select("document_id", "raw"), "document_id").select(
@@ -77,19 +83,46 @@ def classify_spans(docs: DataFrame, spans: DataFrame, margin: int = fixed.FUSION
     def run(batches):
         import pandas as pd
 
-        from lexspark.functions.spans import VAGUE, single, vague
+        from lexspark.functions.spans import SUMULA, VAGUE, single, vague
 
-        names = SCHEMA.replace(",", "").split()[::2]
+        names = [*SCHEMA.replace(",", "").split()[::2], "own_bare"]
         for b in batches:
             rows = []
             for i, r in enumerate(b.itertuples(index=False)):
                 alone, c = single(r.own), single(r.wide)
                 named = any(z - a >= fixed.VAGUE_SHARE * len(r.own.strip()) for a, z, _ in vague(r.own))
-                if alone.family != VAGUE or named:
-                    rows.append((r.document_id, i, c.family, r.start, r.end, r.own, c.kind, c.alias, c.article, c.number, c.court, c.binding, c.readings, c.uf, c.n_digits, c.noisy, c.class_words, r.start, r.end, r.own))
+                if not strict or alone.family != VAGUE or named:
+                    bare = alone.number if alone.family == SUMULA and not alone.binding and alone.court is None else None
+                    rows.append((r.document_id, i, c.family, r.start, r.end, r.wide, c.kind, c.alias, c.article, c.number, c.court, c.binding, c.readings, c.uf, c.n_digits, c.noisy, c.class_words, r.start, r.end, r.own, bare))
             yield pd.DataFrame(rows, columns=names)
 
-    return s.mapInPandas(run, SCHEMA.replace(" end ", " `end` "))
+    return s.mapInPandas(run, SCHEMA.replace(" end ", " `end` ") + ", own_bare string")
+
+
+def merge(docs: DataFrame, citations: DataFrame, tagged: DataFrame, index: Index, strict: bool = True, calibrated: bool = False, least: float = fixed.FUSION_SCORE) -> DataFrame:
+    """The rules' citations and those that the tagger adds, numbered by place; added ones have evidence ``ner:*`` and no signals.
+
+    A span that names nothing, or alone stays ambiguous, blocks no other: spans are read first and folded then.
+    """
+    spans = tagged.where(F.col("score") >= least).groupBy("document_id", "start", "end").agg(F.max_by("label", "score").alias("label"), F.max("score").alias("score"))
+    read = classify_spans(docs, spans, strict=strict)
+    if strict:
+        several = index.sumulas.select(F.element_at(F.split("key", r"\|"), -1).alias("own_bare"), "id").groupBy("own_bare").agg(F.count_distinct("id").alias("n")).where("n > 1")
+        read = read.join(several, "own_bare", "left_anti")
+    at = ["document_id", "start", "end"]
+    added = fuse(citations, read.select(*at).join(spans, at), strict, least).select(*at)
+    order = F.row_number().over(Window.partitionBy("document_id").orderBy("start", "end"))
+    found = resolve(read.join(added, at).withColumn("seq", order), index)
+    evidence = F.regexp_replace("evidence", "^cnj", "num")
+    table = F.create_map(*(F.lit(x) for kv in fixed.CONFIDENCE.items() for x in kv))
+    confidence = F.round(table[evidence] * fixed.FUSION_FACTOR, 4) if calibrated else F.lit(1.0)
+    new = found.select(
+        "document_id", F.col("raw_start").alias("start"), F.col("raw_end").alias("end"), F.col("raw_surface").alias("surface"), "kind", "verdict", "canonical_id",
+        confidence.alias("confidence"), F.concat(F.lit("ner:"), evidence).alias("evidence"), F.lit(None).cast(citations.schema["signals"].dataType).alias("signals"),
+    )
+    number = F.row_number().over(Window.partitionBy("document_id").orderBy("start", "end"))
+    both = citations.select(new.columns).unionByName(new)
+    return both.select("document_id", F.concat(F.lit("c"), number).alias("citation_id"), *new.columns[1:])
 
 
 def simulate(gold: DataFrame, recall: float = 0.85, noise: float = 0.05, seed: int = 3) -> DataFrame:

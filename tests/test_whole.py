@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark import catalog
-from lexspark.operators import synth
+from lexspark import catalog, fixed
+from lexspark.operators import index, synth, tagger
+from lexspark.plans.verify import verify
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +52,19 @@ def test_near_texts_reads_past_the_opening(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = {(r.item_id, r.other) for r in catalog.QUERIES["near_texts"](spark, str(tmp_path)).collect()}
     assert found == {(0, 0), (1, 1), (2, 2), (3, 3), (0, 2), (2, 0)}
+
+
+def test_merge_resolves_what_the_tagger_adds(spark):
+    raw = "Conforme o REsp nº 1.234.567/SP e mais nada disso aqui escrito, ver processo 7.654.321 do acervo."
+    docs = spark.createDataFrame([("d", raw)], "document_id string, raw string")
+    head = "RECURSO ESPECIAL Nº {} - SP (2020)\nEMENTA"
+    registry = spark.createDataFrame([(str(i), None, "acordao", head.format(n)) for i, n in ((70, "1.234.567"), (71, "7.654.321"))], "id string, court string, nature string, text string")
+    idx = index.build(registry)
+    rules = verify(docs, idx).where("canonical_id = '70'")
+    at = lambda x: (raw.index(x), raw.index(x) + len(x))
+    spans = [("d", *at("aqui escrito, ver processo"), "JUR", 0.99), ("d", *at("processo 7.654.321"), "JUR", 0.95), ("d", *at("nº 1.234.567"), "JUR", 0.99)]
+    tagged = spark.createDataFrame(spans, "document_id string, start int, end int, label string, score double")
+    out = [tuple(r) for r in tagger.merge(docs, rules, tagged, idx, calibrated=True).orderBy("start").select("citation_id", "verdict", "canonical_id", "evidence", "surface").collect()]
+    assert out == [("c1", "real", "70", "num_uf", "REsp nº 1.234.567/SP"), ("c2", "real", "71", "ner:num", "processo 7.654.321")]
+    c2 = tagger.features(tagger.merge(docs, rules, tagged, idx, calibrated=True)).where("citation_id = 'c2'").first()
+    assert c2.confidence == round(fixed.CONFIDENCE["num"] * 0.85, 4) and c2.features[-2] == 1.0
