@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 
-#: Confusions of characters in prose.
-CONFUSIONS = (("m", "rn"), ("l", "1"), ("o", "0"), ("i", "l"), ("s", "5"), ("e", "c"), ("a", "ã"), ("u", "ü"))
+#: Confusions of characters in prose: no two read the same character, so each place has one; rn stands for itself.
+CONFUSIONS = (
+    ("e", "c"), ("c", "e"), ("i", "l"), ("l", "i"), ("m", "rn"), ("rn", "m"), ("a", "ã"), ("o", "õ"), ("t", "l"), ("s", "5"), ("O", "0"), ("S", "5"),
+    ("u", "ü"), ("n", "ñ"), ("d", "cl"),
+)
+
+#: Share of texts in which one blank is doubled.
+DOUBLE_BLANK = 0.15
 
 #: A full stop after one of these ends no sentence.
 ABBREVIATIONS = ("art", "arts", "n", "nº", "fl", "fls", "Rel", "Min", "Des", "Dr", "Dra", "Sr", "Sra", "p", "pp", "inc", "proc")
@@ -44,16 +50,31 @@ def add_noise(texts: DataFrame, rate: float = 0.02, seed: int = 1, text: str = "
     Adds noisy and edits, the edit distance summed over the places of the whole text.
     The text is hashed once, so work is linear in its length.
     """
-    pairs = F.create_map(*(F.lit(x) for kv in CONFUSIONS for x in kv))
-
-    def swapped(key):
-        h = lambda i: F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(10_000)) / 10_000.0
-        return F.transform(F.split(F.col(text), ""), lambda c, i: F.struct(c.alias("was"), F.when(h(i) < rate, F.coalesce(pairs[c], c)).otherwise(c).alias("now")))
-
-    places = F.element_at(F.transform(F.array(F.xxhash64(text)), swapped), 1)
+    pairs = F.create_map(*(F.lit(x) for kv in CONFUSIONS if len(kv[0]) == 1 for x in kv))
+    chars = F.split(F.col(text), "")
+    blanks = F.array_compact(F.transform(chars, lambda c, i: F.when(c == " ", i)))
+    around = F.arrays_zip(chars.alias("was"), F.concat(F.array(F.lit("")), F.slice(chars, 1, F.size(chars) - 1)).alias("before"), F.concat(F.slice(chars, 2, F.size(chars)), F.array(F.lit(""))).alias("after"))
+
+    def swapped(b):
+        h = lambda i: F.pmod(F.xxhash64(b["key"], i, F.lit(seed)), F.lit(10_000)) / 10_000.0
+        chosen = lambda i: h(i) < rate
+
+        def now(x, i):
+            first_of_rn = (x["was"] == "r") & (x["after"] == "n")
+            second_of_rn = (x["was"] == "n") & (x["before"] == "r") & chosen(i - 1)
+            return F.when(i == b["blank"], "  ").when(second_of_rn, "").when(~chosen(i), x["was"]).when(first_of_rn, "m").otherwise(F.coalesce(pairs[x["was"]], x["was"]))
+
+        return F.transform(b["around"], lambda x, i: F.struct(x["was"].alias("was"), now(x, i).alias("now")))
+
+    key = F.xxhash64(text)
+    doubled = (F.pmod(F.xxhash64(key, F.lit("blank"), F.lit(seed)), F.lit(10_000)) / 10_000.0 < DOUBLE_BLANK) & F.lit(rate > 0) & (F.size("__blanks") > 0)
+    blank = F.when(doubled, F.get("__blanks", F.pmod(F.xxhash64(key, F.lit("place"), F.lit(seed)), F.size("__blanks")).cast("int")))
+    texts = texts.withColumn("__blanks", blanks)
+    bound = F.array(F.struct(key.alias("key"), blank.alias("blank"), around.alias("around")))
+    places = F.element_at(F.transform(bound, swapped), 1)
     out = texts.withColumn("__places", places)
     edits = F.aggregate("__places", F.lit(0), lambda n, p: n + F.when(p["was"] == p["now"], 0).otherwise(F.levenshtein(p["was"], p["now"])))
-    return out.withColumns({"noisy": F.array_join("__places.now", ""), "edits": edits}).drop("__places")
+    return out.withColumns({"noisy": F.array_join("__places.now", ""), "edits": edits}).drop("__places", "__blanks")
 
 
 def absent_numbers(wanted: DataFrame, keys: DataFrame) -> DataFrame:

@@ -68,3 +68,12 @@ def test_merge_resolves_what_the_tagger_adds(spark):
     assert out == [("c1", "real", "70", "num_uf", "REsp nº 1.234.567/SP"), ("c2", "real", "71", "ner:num", "processo 7.654.321")]
     c2 = tagger.features(tagger.merge(docs, rules, tagged, idx, calibrated=True)).where("citation_id = 'c2'").first()
     assert c2.confidence == round(fixed.CONFIDENCE["num"] * 0.85, 4) and c2.features[-2] == 1.0
+
+
+def test_noise_has_all_confusions(spark):
+    texts = spark.createDataFrame([("eciltaosOSundm",), ("arno",), ("rrnrn",), ("123 xyz",)] + [(f"x x {k}",) for k in range(100)], "text string")
+    out = {r.text: r for r in synth.add_noise(texts, 1.0).withColumn("exact", F.levenshtein("text", "noisy")).collect()}
+    assert out["eciltaosOSundm"].noisy == "celilãõ505üñclrn"
+    assert out["arno"].noisy == "ãmõ" and out["rrnrn"].noisy == "rmm" and out["arno"].edits == out["arno"].exact == 4
+    assert out["123 xyz"].noisy.replace("  ", " ") == "123 xyz"
+    assert 3 <= sum("  " in r.noisy for r in out.values()) <= 35 and all(r.noisy.count("  ") <= 1 for r in out.values())
