@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import line_dedup, near_dedup, piece_codec, quality, source_mix
-from lexspark.llm.common import shared_dir, table
+from lexspark.llm.common import Scratch, shared_dir, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,11 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    kept = near_dedup.near_dedup(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each group of near duplicates, that of the smallest doc_id; repeated and null ids don't count as one."""
+    rows = Scratch(spark).table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    groups = near_dedup.near_dedup(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")).select("first.__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,13 @@ def test_noise_has_all_confusions(spark):
     assert out["arno"].noisy == "ãmõ" and out["rrnrn"].noisy == "rmm" and out["arno"].edits == out["arno"].exact == 4
     assert out["123 xyz"].noisy.replace("  ", " ") == "123 xyz"
     assert 3 <= sum("  " in r.noisy for r in out.values()) <= 35 and all(r.noisy.count("  ") <= 1 for r in out.values())
+
+
+def test_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"palavra{i}" for i in range(60))
+    rows = [(1, long), (1, long), (None, long + " fim"), (None, "um texto de todo diferente do resto da lista"), (None, ""), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    assert sorted(out, key=repr) == sorted([rows[0], rows[3], rows[4], rows[5]], key=repr)
