@@ -1,19 +1,18 @@
 """Near dedup by HyperMinHash.
 
 A text's set is its distinct five-word shingles.  Rows of equal sets become one
-node.  A node's sketch has 160 buckets; each keeps the leading-zero count and ten
-mantissa bits of its smallest hash.  Forty bands of four registers deal the nodes
-to buckets; nodes with few shingles, whose sketch is mostly empty, are dealt by
-their smallest hashes instead (a prefix filter, which misses nothing).  A
-candidate pair first needs a collision-corrected estimate near the threshold,
-then its full sets are compared.
+node, named by its first row.  A node's sketch has 160 registers.  In each round every
+shingle falls into one register; a register keeps the least hash of the first round
+that reaches it, as a leading-zero count and ten mantissa bits.  So a register of two
+sets agrees with the probability of their similarity whatever the sets' sizes, and
+texts of every length go one way: forty bands of four registers deal the nodes to
+buckets, a collision-corrected estimate admits candidate pairs, full sets confirm.
 
 No bucket is expanded into all its pairs.  Every bucket first links its members
-to one hub; connected members need nothing more.  Buckets that still hold several
-components are settled pair by pair between components if small.  Members of large
-ones go through an exact prefix filter on rare shingles first, again hub by hub;
-what is still open is settled pair by pair in small groups, and as products of
-blocks of sets in large ones, so no link is capped away.
+to one hub; connected members need nothing more.  What is open after that in small
+buckets is settled between components.  Members of large open buckets are dealt anew by
+an exact prefix filter on rare shingles, again hub by hub; what is still open
+meets as blocks of sets, each pair of blocks once, so no link is capped away.
 """
 
 from __future__ import annotations
@@ -26,82 +25,103 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .shingles import shingle_sets
+from .shingles import _mix, shingle_sets
 
 REGISTERS, BAND, MANTISSA = 160, 4, 10
-#: Texts of up to SHORT shingles are dealt by hash prefixes. Buckets of up to SMALL nodes are settled pair by pair.
-SHORT, SMALL, HUB_ROUNDS = 256, 16, 3
-#: Sets and hashes of a block, at most (one set may be larger).
+#: Open groups of up to SMALL nodes are settled pair by pair, others as blocks.
+SMALL, HUB_ROUNDS = 16, 3
+#: Sets and hashes of a block, as expected.
 BLOCK, BLOCK_HASHES = 128, 1 << 17
 #: Linked if 100 * intersection >= 75 * union.
 PERCENT = 75
 _SIGMAS = 6
+#: Hashes of a round or of several short ones that are dealt to registers at once.
+_AT_ONCE = 2048
+_VALUE = 48
+_seeds = np.random.Generator(np.random.PCG64(75)).integers(0, 1 << 63, 2 * REGISTERS + REGISTERS // BAND, dtype=np.uint64)
+_ROUND, _LAST, _BAND_SEED = _seeds[:REGISTERS], _seeds[REGISTERS : 2 * REGISTERS], _seeds[2 * REGISTERS :]
 
 
-def _sketch(hashes: np.ndarray) -> np.ndarray:
-    """Registers of sorted hashes; 0: empty."""
-    registers = np.zeros(REGISTERS, np.uint16)
-    buckets = ((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(REGISTERS)) >> np.uint64(32)
-    at, first = np.unique(buckets, return_index=True)
-    m, e = np.frexp((hashes[first] >> np.uint64(24)).astype(np.float64))
-    mantissa = np.where(m > 0, (m * 2 - 1) * (1 << MANTISSA), 0).astype(np.uint16)
-    registers[at.astype(np.int64)] = ((41 - e) << MANTISSA).astype(np.uint16) | mantissa
-    return registers
+def _least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The hash that each register keeps, of _VALUE bits.
+
+    Registers that no round has reached after as many rounds as there are registers
+    take the least hash of a last round of their own, so none stays empty.
+    """
+    value = np.zeros(REGISTERS, np.uint64)
+    waits = np.ones(REGISTERS, bool)
+    low, at = np.uint64((1 << _VALUE) - 1), np.arange(REGISTERS, dtype=np.uint64)
+    done = 0
+    while done < REGISTERS and waits.any():
+        turns = min(max(1, _AT_ONCE // len(hashes)), REGISTERS - done)
+        x = _mix(hashes ^ _ROUND[done : done + turns, None])
+        register = ((x >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)
+        x = np.sort((register << np.uint64(56) | at[:turns, None] << np.uint64(_VALUE) | x & low).ravel())
+        first = np.minimum(np.searchsorted(x, at << np.uint64(56)), len(x) - 1)
+        new = waits & (x[first] >> np.uint64(56) == at)
+        value[new] = x[first][new] & low
+        waits &= ~new
+        done += turns
+    if waits.any():
+        value[waits] = (_mix(hashes ^ _LAST[waits, None]) & low).min(axis=1)
+    return value
 
 
-def _prefix(n: int) -> int:
-    return n - (n * PERCENT + 99) // 100 + 1
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """Registers of a set that isn't empty: leading zeros and mantissa of the least hashes."""
+    m, e = np.frexp(_least_hashes(hashes).astype(np.float64))
+    mantissa = np.where(m > 0, (m * 2 - 1) * (1 << MANTISSA), 0).astype(np.uint16)
+    return ((_VALUE - e) << MANTISSA).astype(np.uint16) | mantissa
 
 
 def _sketched(batches):
+    """(row, doc_id, text) -> (row, doc_id, n, digest, sketch)."""
     for b in batches:
-        n, digest, sketch, short = [], [], [], []
-        for s in shingle_sets(b.column(1)):
+        n, digest, sketch = [], [], []
+        for s in shingle_sets(b.column(2)):
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sketch.append(_sketch(s).tobytes() if len(s) else None)
-            short.append(s[: _prefix(len(s))].tobytes() if 0 < len(s) <= SHORT * 100 // PERCENT + 1 else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(short, pa.binary())], ["doc_id", "n", "digest", "sketch", "short"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], ["row", "doc_id", "n", "digest", "sketch"])
+
+
+def _registers(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
 def _dealt(batches):
-    """(nid, n, sketch, short) -> (band, key, nid)."""
-    bands = REGISTERS // BAND
+    """(nid, sketch) -> (key, nid), a row for each band; a key names band and registers."""
     for b in batches:
-        band, key, nid = [], [], []
-        for i, n, sketch, short in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            if short is not None:
-                own = np.frombuffer(short, np.int64)
-                band.append(np.full(len(own), -1, np.int32))
-                key.append(own)
-                nid.append(np.full(len(own), i, np.int64))
-            if n > SHORT:
-                r = np.frombuffer(sketch, np.uint16)
-                full = np.nonzero(r)[0]
-                r = r[full[np.searchsorted(full, np.arange(REGISTERS)) % len(full)]]  # an empty register takes the next one's value
-                band.append(np.arange(bands, dtype=np.int32))
-                key.append(np.ascontiguousarray(r).view(np.int64))
-                nid.append(np.full(bands, i, np.int64))
-        if nid:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(band)), pa.array(np.concatenate(key)), pa.array(np.concatenate(nid))], ["band", "key", "nid"])
+        if b.num_rows:
+            key = _mix(np.ascontiguousarray(_registers(b.column(1))).view(np.uint64) ^ _BAND_SEED).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), key.shape[1]))], ["key", "nid"])
+
+
+def _cells(n: np.ndarray) -> np.ndarray:
+    """Probabilities of the leading-zero counts of a register, by set size."""
+    ends = np.exp(-(np.maximum(n, 1)[:, None] / REGISTERS) * 2.0 ** -np.append(np.arange(_VALUE), np.inf))
+    return np.diff(ends, axis=1) / (1 - ends[:, :1])
 
 
-def estimated(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of sketches (rows of registers), corrected for chance collisions, and the registers used."""
-    used = ((a > 0) | (b > 0)).sum(axis=1)
-    same = ((a == b) & (a > 0)).sum(axis=1)
-    k = np.arange(40)
-    cell = lambda n: np.exp(-(n[:, None] / REGISTERS) * 2.0 ** -(k + 1)) - np.exp(-(n[:, None] / REGISTERS) * 2.0**-k)
-    chance = (cell(na) * cell(nb)).sum(axis=1) / (1 << MANTISSA)
-    return (same / np.maximum(used, 1) - chance) / (1 - chance), used
+def _corrected(same, chance):
+    """Jaccard estimate from the share of registers that agree; some agree by chance though they keep different hashes."""
+    return (same - chance) / (1 - chance)
+
+
+def estimated(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of pairs of sketches (rows of registers) of sets of those sizes."""
+    return _corrected((a == b).mean(axis=1), (_cells(na) * _cells(nb)).sum(axis=1) / (1 << MANTISSA))
+
+
+_LIKELY = PERCENT / 100 - _SIGMAS * (0.25 / REGISTERS) ** 0.5
 
 
 def _likely(batches):
+    """(a, b, sketch and size of a, of b) -> the pairs (a, b) whose estimate is near the threshold."""
     for x in batches:
         if x.num_rows:
-            sketch = lambda k: np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS)  # noqa: E731, B023
-            j, used = estimated(sketch(2), sketch(4), x.column(3).to_numpy().astype(float), x.column(5).to_numpy().astype(float))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(j >= PERCENT / 100 - _SIGMAS * np.sqrt(0.25 / np.maximum(used, 1))))
+            j = estimated(_registers(x.column(2)), _registers(x.column(4)), x.column(3).to_numpy().astype(float), x.column(5).to_numpy().astype(float))
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(j >= _LIKELY))
 
 
 def _linked(batches):
@@ -121,16 +141,16 @@ def _linked(batches):
 
 
 def _sets_of(batches):
-    """(nid, digest, text) -> (nid, hashes) where the text's set has that digest."""
+    """(nid, text) -> (nid, hashes), sorted."""
     for b in batches:
-        nid, sets = [], []
-        for i, d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2)), strict=True):
-            if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d:
-                nid.append(i)
-                sets.append(np.sort(s.view(np.int64)))
-            if sum(map(len, sets)) > 1 << 20:
+        nid, sets, size = [], [], 0
+        for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1)), strict=True):
+            nid.append(i)
+            sets.append(np.sort(s.view(np.int64)))
+            size += len(s)
+            if size > 1 << 20:
                 yield _set_rows(nid, sets)
-                nid, sets = [], []
+                nid, sets, size = [], [], 0
         if nid:
             yield _set_rows(nid, sets)
 
@@ -224,75 +244,85 @@ def _hub_pairs(m: DataFrame) -> DataFrame:
 
 def _cross_pairs(m: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of a group's members in different components."""
-    x, y = (m.select(*keys, F.col("nid").alias(v), F.col("comp").alias(f"c{v}"), F.col("n").alias(f"n{v}")) for v in "ab")
-    return x.join(y, keys).where(f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
-
-
-def _blocks(batches):
-    """(nid, comp, hashes), neighbours together -> blocks of up to BLOCK sets or BLOCK_HASHES hashes."""
-    nid, comp, sets, size = [], [], [], 0
-
-    def block():
-        fields = [pa.array([x], t) for x, t in ((nid, pa.list_(pa.int64())), (comp, pa.list_(pa.int64())), ([len(x) for x in sets], pa.list_(pa.int32())))]
-        return pa.RecordBatch.from_arrays([*fields, pa.array([np.concatenate(sets).tobytes()], pa.binary())], ["nids", "comps", "sizes", "hashes"])
-
-    for b in batches:
-        values, offsets = b.column(2).values.to_numpy(), b.column(2).offsets.to_numpy()
-        for i, (x, c) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-            own = values[offsets[i] : offsets[i + 1]]
-            if nid and (len(nid) >= BLOCK or size + len(own) > BLOCK_HASHES):
-                yield block()
-                nid, comp, sets, size = [], [], [], 0
-            nid.append(x)
-            comp.append(c)
-            sets.append(own)
-            size += len(own)
-    if nid:
-        yield block()
+    x, y = (m.select(*keys, F.col("nid").alias(v), F.col("comp").alias(f"c{v}")) for v in "ab")
+    return x.join(y, keys).where("a < b and ca <> cb").select("a", "b")
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of links that connect all that the links (a, b) connect, without a cycle."""
+    top: dict = {}
+
+    def root(x):
+        while (up := top.get(x, x)) != x:
+            top[x] = x = top.get(up, up)
+        return x
+
+    keep = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            top[x] = y
+            keep.append(i)
+    return keep
+
+
+def _common(x, y, sizes_x, sizes_y) -> np.ndarray:
+    """Sizes of all intersections of two blocks of sets, from the product of their incidence matrices, some shared hashes at a time."""
+    shared = np.intersect1d(x, y)
+    both = np.zeros((len(sizes_x), len(sizes_y)), np.float32)
+    for k in range(0, len(shared), 8192):
+        part, incidence = shared[k : k + 8192], []
+        for v, sizes in ((x, sizes_x), (y, sizes_y)):
+            at = np.searchsorted(part, v)
+            hit = at < len(part)
+            hit[hit] = part[at[hit]] == v[hit]
+            one = np.zeros((len(sizes), len(part)), np.float32)
+            one[np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]] = 1
+            incidence.append(one)
+        both += incidence[0] @ incidence[1].T
+    return both.astype(np.int64)
+
+
+def _block(members):
+    """One row's array of (nid, comp, n, sketch, hashes), as arrays."""
+    x = members.values
+    return *(x.field(f).to_numpy() for f in ("nid", "comp", "n")), _registers(x.field("sketch")), x.field("hashes").flatten().to_numpy()
 
 
 def _tile_links(batches):
-    """Rows of two blocks -> the linked pairs between different components, from the product of their incidence matrices."""
-    for b in batches:
-        for r in b.to_pylist():
-            x, y = np.frombuffer(r["ha"], np.int64), np.frombuffer(r["hb"], np.int64)
-            sa, sb = np.array(r["sa"]), np.array(r["sb"])
-            common = np.intersect1d(x, y)
-            both = np.zeros((len(sa), len(sb)), np.float32)
-            rows_a, rows_b = np.repeat(np.arange(len(sa)), sa), np.repeat(np.arange(len(sb)), sb)
-            for k in range(0, len(common), 8192):
-                part = common[k : k + 8192]
-                m = []
-                for v, rows, n in ((x, rows_a, len(sa)), (y, rows_b, len(sb))):
-                    at = np.searchsorted(part, v)
-                    hit = at < len(part)
-                    hit[hit] = part[at[hit]] == v[hit]
-                    one = np.zeros((n, len(part)), np.float32)
-                    one[rows[hit], at[hit]] = 1
-                    m.append(one)
-                both += m[0] @ m[1].T
-            both = both.astype(np.int64)
-            ok = (100 * both >= PERCENT * (sa[:, None] + sb[None, :] - both)) & (both > 0) & (np.array(r["ca"])[:, None] != np.array(r["cb"])[None, :])
-            i, j = np.nonzero(ok)
-            if len(i):
-                p, q = np.array(r["na"])[i], np.array(r["nb"])[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64())], ["a", "b"])
-
-
-def _tiled_pairs(m: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """m: (key, nid, comp, size), members of large groups -> the linked pairs of a group across components.
-
-    Nodes are sorted by the most frequent of their keys, so a group fills few blocks;
-    blocks that share a key meet once, whatever the number of pairs between them.
+    """Rows of two blocks -> links between different components, as many as connect what the tile connects."""
+    for batch in batches:
+        for left, right in zip(batch.column(0), batch.column(1), strict=True):
+            (na, ca, sa, ka, ha), (nb, cb, sb, kb, hb) = _block(left), _block(right)
+            same = np.stack([(ka == k).mean(axis=1) for k in kb], axis=1)
+            likely = (_corrected(same, _cells(sa) @ _cells(sb).T / (1 << MANTISSA)) >= _LIKELY) & (ca[:, None] != cb[None, :])
+            if likely.any():
+                both = _common(ha, hb, sa, sb)
+                i, j = np.nonzero(likely & (both > 0) & (100 * both >= PERCENT * (sa[:, None] + sb[None, :] - both)))
+                keep = _forest(ca[i], cb[j])
+                p, q = na[i[keep]], nb[j[keep]]
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64())], ["a", "b"])
+
+
+def _tiled_pairs(m: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """m: (key, nid, comp, size), members of large groups -> links that connect what a group's links across components connect.
+
+    A node belongs to the largest of its groups, whose nodes are dealt to blocks at
+    random, so blocks are few and full.  Two blocks meet once if they share a key; of
+    keys that stand in the same blocks only one is asked.
     """
-    own = scratch.table(m.groupBy("nid", "comp").agg(F.max(F.struct("size", "key")).alias("top")), "tile-nodes")
-    ordered = own.join(sets, "nid").select("nid", "comp", "hashes", "top").repartitionByRange("top", "nid").sortWithinPartitions("top", "nid")
-    blocks = ordered.select("nid", "comp", "hashes").mapInArrow(_blocks, "nids array<long>, comps array<long>, sizes array<int>, hashes binary")
-    blocks = scratch.table(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
-    at = scratch.table(m.join(blocks.select("block", F.explode("nids").alias("nid")), "nid").select("key", "block").distinct(), "block-keys")
-    met = at.join(at.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct()
-    side = lambda of, v: blocks.select(F.col("block").alias(of), F.col("nids").alias(f"n{v}"), F.col("comps").alias(f"c{v}"), F.col("sizes").alias(f"s{v}"), F.col("hashes").alias(f"h{v}"))
-    return met.join(side("block", "a"), "block").join(side("other", "b"), "other").drop("block", "other").mapInArrow(_tile_links, "a long, b long")
+    own = scratch.table(m.groupBy("nid", "comp").agg(F.max(F.struct("size", "key")).alias("top")).join(nodes.select("nid", "n"), "nid"), "tile-nodes")
+    room = own.groupBy("top").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_HASHES)).alias("blocks"))
+    placed = scratch.table(own.join(room, "top").select("nid", "comp", F.xxhash64("top", F.pmod(F.xxhash64("nid"), F.col("blocks"))).alias("block")), "tile-blocks")
+    at = scratch.table(m.select("key", "nid").join(placed.select("nid", "block"), "nid").select("key", "block").distinct(), "block-keys")
+    stands = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("block")).alias("x"), F.bit_xor(F.xxhash64("block", F.lit(1))).alias("y"))
+    asked = at.join(stands.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    met = asked.join(asked.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct()
+    full = placed.join(sets, "nid").join(nodes.select("nid", "n", "sketch"), "nid")
+    blocks = scratch.table(full.groupBy("block").agg(F.collect_list(F.struct("nid", "comp", "n", "sketch", "hashes")).alias("members")), "blocks")
+    pairs = met.join(blocks.withColumnRenamed("members", "left"), "block").join(blocks.select(F.col("block").alias("other"), F.col("members").alias("right")), "other")
+    return pairs.select("left", "right").mapInArrow(_tile_links, "a long, b long")
 
 
 def _rare_prefixes(sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -317,32 +347,34 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Words are runs of non-white-space, A-Z lower-cased; fewer than five words make one
     shingle.  Null, empty and blank texts have no shingles and are linked with nothing:
     they are kept.  component_id is the smallest id of the component (null ids don't
-    count unless all are null); rows that repeat an id share its fate.  Shingles are
-    compared as 64-bit hashes and sets told apart by 128-bit digests.
+    count unless all are null); rows that repeat an id share its fate, and rows that
+    repeat a text are one node.  Shingles are compared as 64-bit hashes and sets told
+    apart by 128-bit digests.  A very long text is read in pieces, as a whole set; an
+    empty table gives no rows; other columns are ignored.  A pair at exactly the
+    threshold shares no band with a probability of 2.5e-7, whatever its size.
+    ``docs`` must give the same rows in the same partitions when it is read again
+    (files or a checkpoint), as rows are numbered by their place.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    read = scratch.table(d.mapInArrow(_sketched, "doc_id long, n long, digest binary, sketch binary, short binary"), "sketched")
-    first = read.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
-    nodes = scratch.table(first.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    rows = scratch.table(nodes.select("nid", "n", "sketch", "short").mapInArrow(_dealt, "band int, key long, nid long"), "dealt")
-    keys = ["band", "key"]
-    shared = scratch.table(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
-    members = scratch.table(rows.join(shared, keys), "shared-rows")
-    members = scratch.table(_weighed(members, "size").join(nodes.select("nid", "n"), "nid"), "members")
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    read = scratch.table(d.mapInArrow(_sketched, "row long, doc_id long, n long, digest binary, sketch binary"), "sketched")
+    named = scratch.table(read.where("n > 0").groupBy("digest").agg(F.min("row").alias("nid"), F.min("doc_id").alias("min_doc")), "named")
+    nodes = scratch.table(read.select(F.col("row").alias("nid"), "n", "sketch").join(named.select("nid"), "nid", "left_semi"), "nodes")
+    rows = scratch.table(nodes.select("nid", "sketch").mapInArrow(_dealt, "key long, nid long"), "dealt")
+    shared = scratch.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
+    members = scratch.table(_weighed(scratch.table(rows.join(shared, "key"), "shared-rows"), "size"), "members")
     scratch.drop("dealt", "shared", "shared-rows")
-    wanted = members.select("nid").distinct().join(nodes.select("nid", "digest", "min_doc"), "nid")
-    text = d.join(wanted.withColumnRenamed("min_doc", "at"), F.col("doc_id").eqNullSafe(F.col("at"))).select("nid", "digest", "text")
-    sets = scratch.table(text.mapInArrow(_sets_of, "nid long, hashes array<long>"), "sets-read")
+    wanted = members.select(F.col("nid").alias("row")).distinct()
+    sets = scratch.table(d.select("row", "text").join(wanted, "row").mapInArrow(_sets_of, "nid long, hashes array<long>"), "sets-read")
     links = _Links(nodes, sets, scratch)
-    links.add(_hub_pairs(links.open(members, keys, "bucket")))
+    links.add(_hub_pairs(links.open(members, ["key"], "bucket")))
     scratch.drop("bucket-open-0")
-    left = links.open(members, keys, "bucket")
+    left = links.open(members, ["key"], "bucket")
     scratch.drop("members")
-    links.add(_cross_pairs(left.where(f"size <= {SMALL}"), keys))
-    large = links.of(left.where(f"size > {SMALL}").drop("comp")).groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    hard = scratch.table(left.join(large, keys, "left_semi").select("nid").distinct(), "hard")
+    links.add(_cross_pairs(left.where(f"size <= {SMALL}"), ["key"]))
+    large = links.of(left.where(f"size > {SMALL}").select("key", "nid")).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    hard = scratch.table(left.join(large, "key", "left_semi").select("nid").distinct(), "hard")
     if hard.limit(1).count():
         tokens = scratch.table(_rare_prefixes(sets.join(hard, "nid"), scratch), "token-rows")
         tokens = scratch.table(_weighed(tokens, "df"), "tokens")
@@ -353,10 +385,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             scratch.drop(f"token{i}-open-{round_before}", f"token{i}-hubs-{round_before}")
         rest = links.open(tokens, ["key"], "rest")
         links.add(_cross_pairs(rest.where(f"size <= {SMALL}"), ["key"]))
-        tiled = scratch.table(_tiled_pairs(rest.where(f"size > {SMALL}"), sets, scratch).distinct(), "tiled")
+        tiled = scratch.table(_tiled_pairs(rest.where(f"size > {SMALL}"), nodes, sets, scratch), "tiled")
         links.round += 1
         links.take(tiled)
-    member = scratch.table(links.of(nodes.select("nid", "digest", "min_doc")), "member")
+    member = scratch.table(links.of(named), "member")
     least = scratch.table(member.groupBy("comp").agg(F.min("min_doc").alias("component_id")), "least")
     by_digest = scratch.table(member.join(least, "comp").select("digest", "component_id"), "by-digest")
     out = read.select("doc_id", "n", "digest").join(by_digest, "digest", "left")

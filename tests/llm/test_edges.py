@@ -96,17 +96,28 @@ def test_near_dedup_of_a_hot_family(spark, monkeypatch):
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got.collect()) == brute_groups(rows)
 
 
-def test_estimates_are_near_the_truth():
-    r = np.random.default_rng(1)
-    for j in (0.2, 0.5, 0.9):
-        pool = np.unique(r.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
-        pool = r.permutation(pool)
-        both = int(len(pool) * j)
-        half = (len(pool) - both) // 2
-        a, b = np.sort(np.concatenate([pool[:both], pool[both : both + half]])), np.sort(np.concatenate([pool[:both], pool[both + half :]]))
-        a, b = near_dedup._sketch(np.sort(a)), near_dedup._sketch(np.sort(b))
-        got, _ = near_dedup.estimated(a[None], b[None], np.array([2500.0]), np.array([2500.0]))
-        assert abs(got[0] - j) < 0.2
+@pytest.mark.parametrize("size", [4, 40, 400, 4000])
+def test_registers_agree_as_sets_do_at_every_size(size):
+    """Estimates are near the truth, and bands alone find pairs at the threshold, however small the sets."""
+    r, found, trials, estimates = np.random.default_rng(size), 0, 60 if size > 1000 else 200, []
+    for _ in range(trials):
+        pool = r.permutation(np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)))
+        cut = len(pool) * 3 // 4
+        half = cut + (len(pool) - cut) // 2
+        a, b = (near_dedup._sketch(np.sort(x)) for x in (np.concatenate([pool[:cut], pool[cut:half]]), np.concatenate([pool[:cut], pool[half:]])))
+        found += bool((a.reshape(-1, near_dedup.BAND) == b.reshape(-1, near_dedup.BAND)).all(axis=1).any())
+        n = np.array([float(half)])
+        estimates.append(near_dedup.estimated(a[None], b[None], n, n)[0])
+    assert found == trials
+    assert abs(np.mean(estimates) - 0.75) < 0.02 and np.std(estimates) < 0.05
+
+
+def test_estimates_of_unlike_sets_are_corrected():
+    r = np.random.default_rng(9)
+    draw = lambda n: near_dedup._sketch(np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)))
+    a, b = (np.array([draw(300) for _ in range(300)]) for _ in "ab")
+    n = np.full(300, 300.0)
+    assert abs(near_dedup.estimated(a, b, n, n).mean()) < 2e-4
 
 
 def test_url_filter(spark):
