@@ -47,7 +47,7 @@ def digits(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Inner runs of white space as one blank; a blank at an edge stays one blank."""
-    return F.regexp_replace(c, r"[\s ]+", " ")
+    return F.regexp_replace(c, r"(?U)\s+", " ")
 
 
 def number_key(number: Column, uf: Column | None = None) -> Column:
@@ -104,8 +104,8 @@ def multiset_jaccard(a: Column, b: Column) -> Column:
 
 def heading_class(text: Column, n: int = 220) -> Column:
     """The procedural class that heads a decision: what stands before its number."""
-    head = F.regexp_replace(F.upper(unaccent(F.substring(text, 1, n))), r"A\s*C\s*O\s*R\s*D\s*A\s*O", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(head, r"(?s)(?:N[ºO°.]{0,2}\s*[0-9]|\b[0-9]{3,}).*$", ""), "[^A-Z0-9]+", " "))
+    head = F.regexp_replace(F.upper(unaccent(F.substring(text, 1, n))), fixed.HEAD_TITLE, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(head, fixed.HEAD_NUMBER, ""), "[^A-Z0-9]+", " "))
 
 
 def header_end(text: Column) -> Column:

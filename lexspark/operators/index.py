@@ -11,18 +11,6 @@ from pyspark.sql.types import StringType
 from lexspark import fixed
 from lexspark.functions import text as T
 
-_N = r"N[ºo°.\s]{0,3}\s*"
-_PLAIN = r"([0-9]{1,3}(?:\.[0-9]{3})+|[0-9]{3,9})"
-_CNJ = fixed.CNJ.replace(r"\d", "[0-9]")
-_TST = rf"(?iU)discutidos\s+estes\s+autos[^\n]{{0,200}}?({_CNJ})"
-_TST_ELSE = rf"(?U)PROCESSO\s+N[ºo°.]?\s*TST-[A-Za-z\-]{{1,25}}?-({_CNJ})"
-_WITH_UF = rf"(?iU){_N}{_PLAIN}\s*[-–—/(]?\s*({'|'.join(fixed.UFS)})\b"
-_WITH_STATE = rf"\b([0-9]{{1,3}}(?:\.[0-9]{{3}})+|[0-9]{{3,7}})\s+({'|'.join(fixed.STATES)})\b"
-_ANY = rf"(?iU){_N}([0-9]{{1,3}}(?:\.[0-9]{{3}})+|[0-9]{{4,9}})"
-_SUMULA = r"(?iU)S[uú]mula\s+(Vinculante\s+)?n?[ºo°.]{0,2}\s*([0-9]{1,4})(?:\s+d[oe]\s+(STF|STJ|STM|TSE|TST))?"
-_DEVICE = r"(?iU)Artigo\s+([0-9]{1,4}(?:\.[0-9]{3})*)[ºo°]?\s+d[ao]\s+(.+?)(?:\n|$)"
-_LAW_NUMBER = r"(?iU)n?[ºo°.]{0,2}\s*([0-9]{1,3}(?:\.[0-9]{3})*)(?:,\s*de\s+.*?\b([0-9]{4}))?"
-
 
 @dataclass
 class Index:
@@ -44,13 +32,13 @@ def case_keys(decisions: DataFrame) -> DataFrame:
         pairs = F.arrays_zip(every(c, p, 1).alias("n"), every(c, p, 2).alias("u"))
         return F.flatten(F.transform(pairs, lambda x: F.array(T.number_key(x["n"], uf(x["u"])), T.number_key(x["n"]))))
 
-    tst = F.regexp_extract(text, _TST, 1)
-    tst = F.when(tst != "", tst).otherwise(F.regexp_extract(F.substring(text, 1, fixed.TST_WINDOW), _TST_ELSE, 1))
+    tst = F.regexp_extract(text, fixed.HEAD_TST, 1)
+    tst = F.when(tst != "", tst).otherwise(F.regexp_extract(F.substring(text, 1, fixed.TST_WINDOW), fixed.HEAD_TST_ELSE, 1))
     own = F.concat(
-        F.transform(F.filter(F.array(tst), lambda x: x != ""), lambda x: T.number_key(x)), with_uf(head, _WITH_UF, F.upper),
-        with_uf(F.upper(T.unaccent(head)), _WITH_STATE, lambda s: states[s]), F.transform(every(head, _CNJ, 0), lambda x: T.number_key(x)),
+        F.transform(F.filter(F.array(tst), lambda x: x != ""), lambda x: T.number_key(x)), with_uf(head, fixed.HEAD_UF, F.upper),
+        with_uf(F.upper(T.unaccent(head)), fixed.HEAD_STATE, lambda s: states[s]), F.transform(every(head, fixed.HEAD_CNJ, 0), lambda x: T.number_key(x)),
     )
-    k = decisions.select("id", own.alias("own"), F.transform(every(head, _ANY, 1), lambda x: T.number_key(x)).alias("others"))
+    k = decisions.select("id", own.alias("own"), F.transform(every(head, fixed.HEAD_ANY, 1), lambda x: T.number_key(x)).alias("others"))
     rows = k.select("id", F.explode(F.array_distinct("own")).alias("key"), F.lit(0).alias("layer")).unionByName(
         k.select("id", F.explode(F.array_except("others", "own")).alias("key"), F.lit(1).alias("layer"))
     )
@@ -59,7 +47,7 @@ def case_keys(decisions: DataFrame) -> DataFrame:
 
 def sumula_keys(sumulas: DataFrame) -> DataFrame:
     head = F.substring("text", 1, 120)
-    part = lambda g: F.regexp_extract(head, _SUMULA, g)
+    part = lambda g: F.regexp_extract(head, fixed.HEAD_SUMULA, g)
     court = F.when(part(3) != "", F.upper(part(3))).otherwise(F.upper(F.coalesce("court", F.lit(""))))
     keys = F.array(F.when(part(1) != "", F.concat(court, F.lit("|SV|"), part(2))), F.concat(court, F.lit("|"), part(2)))
     return sumulas.where(part(2) != "").select("id", F.explode(F.array_compact(keys)).alias("key"))
@@ -74,8 +62,8 @@ def _by_name(names):
 
 def statute_keys(devices: DataFrame) -> DataFrame:
     head = F.substring("text", 1, 200)
-    d = devices.select("id", F.regexp_replace(F.regexp_extract(head, _DEVICE, 1), r"\.", "").alias("article"), F.regexp_extract(head, _DEVICE, 2).alias("law")).where("article <> ''")
-    number, year = F.regexp_replace(F.regexp_extract("law", _LAW_NUMBER, 1), r"\.", ""), F.regexp_extract("law", _LAW_NUMBER, 2)
+    d = devices.select("id", F.regexp_replace(F.regexp_extract(head, fixed.HEAD_DEVICE, 1), r"\.", "").alias("article"), F.regexp_extract(head, fixed.HEAD_DEVICE, 2).alias("law")).where("article <> ''")
+    number, year = F.regexp_replace(F.regexp_extract("law", fixed.HEAD_LAW_NUMBER, 1), r"\.", ""), F.regexp_extract("law", fixed.HEAD_LAW_NUMBER, 2)
     named = F.create_map(*(F.lit(x) for kv in fixed.NAMED_BY_NUMBER.items() for x in kv))
     folded, full = T.fold(F.col("law")), F.concat(number, F.lit("/"), year)
     known = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark import fixed
 from lexspark.operators.arbitrate import arbitrate
 from lexspark.operators.detect import find_candidates
 from lexspark.operators.index import Index
@@ -26,7 +27,7 @@ def verify(docs: DataFrame, index: Index, diffuse: bool = False, calibrated: boo
 
 def contract(docs: DataFrame, citations: DataFrame) -> DataFrame:
     """(document_id, json): the output contract, a row a document, those without citations too."""
-    resolution = F.when(F.col("canonical_id").isNotNull(), F.struct(F.lit("jusbrasil").alias("fonte"), F.col("canonical_id").alias("id_canonico")))
+    resolution = F.when(F.col("canonical_id").isNotNull(), F.struct(F.lit(fixed.CONTRACT_SOURCE).alias("fonte"), F.col("canonical_id").alias("id_canonico")))
     s = F.col("signals")
     names = {"n_digitos": "n_digits", "tem_uf": "has_uf", "n_variantes": "n_readings", "ruidoso": "noisy", "cnj": "cnj", "n_tokens_classe": "class_words", "largura": "width", "camada": "layer", "n_cand": "n_records"}
     signals = F.struct(*(s[v].alias(k) for k, v in names.items()))
@@ -37,7 +38,7 @@ def contract(docs: DataFrame, citations: DataFrame) -> DataFrame:
     made = citations.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("start", one.alias("c")))).alias("cs"))
     d = docs.select(F.col("document_id").cast("string").alias("document_id")).join(made, "document_id", "left")
     cs = F.transform(F.coalesce("cs", F.array().cast(made.schema["cs"].dataType)), lambda x: x["c"])
-    return d.select("document_id", F.to_json(F.struct(F.lit("1.2").alias("schema_version"), F.col("document_id").alias("documento_id"), cs.alias("citacoes"))).alias("json"))
+    return d.select("document_id", F.to_json(F.struct(F.lit(fixed.CONTRACT_VERSION).alias("schema_version"), F.col("document_id").alias("documento_id"), cs.alias("citacoes"))).alias("json"))
 
 
 def submission(docs: DataFrame, citations: DataFrame) -> DataFrame:
