@@ -75,14 +75,14 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches):
-    """(row, doc_id, text) -> (row, doc_id, n, digest, sketch)."""
+    """(doc_id, text, text_key) -> (doc_id, text_key, n, digest, sketch)."""
     for b in batches:
         n, digest, sketch = [], [], []
-        for s in shingle_sets(b.column(2)):
+        for s in shingle_sets(b.column(1)):
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sketch.append(_sketch(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], ["row", "doc_id", "n", "digest", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "text_key", "n", "digest", "sketch"])
 
 
 def _registers(sketches) -> np.ndarray:
@@ -351,22 +351,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeat a text are one node.  Shingles are compared as 64-bit hashes and sets told
     apart by 128-bit digests.  A very long text is read in pieces, as a whole set; an
     empty table gives no rows; other columns are ignored.  A pair at exactly the
-    threshold shares no band with a probability of 2.5e-7, whatever its size.
-    ``docs`` must give the same rows in the same partitions when it is read again
-    (files or a checkpoint), as rows are numbered by their place.
+    threshold shares no band with a probability of 2.5e-7, whatever its size.  Texts
+    are read twice, and found again by a 128-bit digest.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    read = scratch.table(d.mapInArrow(_sketched, "row long, doc_id long, n long, digest binary, sketch binary"), "sketched")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text_key"))
+    made = d.mapInArrow(_sketched, "doc_id long, text_key binary, n long, digest binary, sketch binary")
+    read = scratch.table(made.withColumn("row", F.monotonically_increasing_id()), "sketched")
     named = scratch.table(read.where("n > 0").groupBy("digest").agg(F.min("row").alias("nid"), F.min("doc_id").alias("min_doc")), "named")
-    nodes = scratch.table(read.select(F.col("row").alias("nid"), "n", "sketch").join(named.select("nid"), "nid", "left_semi"), "nodes")
+    nodes = scratch.table(read.select(F.col("row").alias("nid"), "n", "sketch", "text_key").join(named.select("nid"), "nid", "left_semi"), "nodes")
     rows = scratch.table(nodes.select("nid", "sketch").mapInArrow(_dealt, "key long, nid long"), "dealt")
     shared = scratch.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     members = scratch.table(_weighed(scratch.table(rows.join(shared, "key"), "shared-rows"), "size"), "members")
     scratch.drop("dealt", "shared", "shared-rows")
-    wanted = members.select(F.col("nid").alias("row")).distinct()
-    sets = scratch.table(d.select("row", "text").join(wanted, "row").mapInArrow(_sets_of, "nid long, hashes array<long>"), "sets-read")
+    wanted = scratch.table(nodes.select("nid", "text_key").join(members.select("nid").distinct(), "nid", "left_semi"), "wanted")
+    texts = d.select("text_key", "text").join(wanted, "text_key").dropDuplicates(["nid"])  # copies of a text are met here
+    sets = scratch.table(texts.select("nid", "text").mapInArrow(_sets_of, "nid long, hashes array<long>"), "sets-read")
     links = _Links(nodes, sets, scratch)
     links.add(_hub_pairs(links.open(members, ["key"], "bucket")))
     scratch.drop("bucket-open-0")
