@@ -27,6 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that ``df`` doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: ``spark.checkpoint.dir``.
 
@@ -66,3 +78,6 @@ class Scratch:
         """Delete tables that nothing will read again."""
         for name in names:
             self._path(f"{self.root}/{name}", lambda fs, p: fs.delete(p, True))
+
+    def exists(self, name: str) -> bool:
+        return self._path(f"{self.root}/{name}", lambda fs, p: fs.exists(p))
