@@ -1,28 +1,33 @@
 """Chat formatting by schema fingerprints.
 
-The nested field paths of a record, restricted to those that any layout knows, are
-hashed; the digest selects a declarative mapping that turns the record into
-canonical turns (turn, role, text).  Turns are then written by one template, and
-control strings inside texts are escaped reversibly.
+A record's nested field paths that any layout knows are hashed; the digest selects a
+declarative mapping that turns the record into canonical turns (turn, role, text).
+Turns are then written by one template, and control strings inside texts are escaped
+reversibly.
+
+A layout fits a record that has all paths it asks for, whatever else it has; of
+several the one that asks for most is taken, ties in the order declared here.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 HEAD, END = "### ", "\n</turn>\n"
 #: Code points that start a control string, and what stands for them inside texts; the escape itself comes first.
 ESCAPES = (("\\", "\\\\"), ("###", "\\h"), ("</turn>", "\\t"))
+#: Names of roles that layouts other than the canonical one use.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-#: Layouts of JSON records.  turns: (role, path) of fields; each: (array, role field, text field).
+#: Layouts of JSON records.  turns: (role, path) of fields; array: a list of messages.
 LAYOUTS = {
-    "messages": {"each": ("messages", "role", "content")},
-    "conversations": {"each": ("conversations", "from", "value")},
+    "messages": {"array": "messages"},
+    "conversations": {"array": "conversations"},
     "prompt_response": {"turns": (("user", "prompt"), ("assistant", "response"))},
     "prompt_completion": {"turns": (("user", "prompt"), ("assistant", "completion"))},
     "question_answer": {"turns": (("user", "question"), ("assistant", "answer"))},
@@ -30,10 +35,12 @@ LAYOUTS = {
     "instruction_input": {"turns": (("user", "instruction"), ("user", "input"), ("assistant", "output"))},
     "system_prompt": {"turns": (("system", "system"), ("user", "prompt"), ("assistant", "response"))},
 }
-#: Layouts of tables with a row for each turn: conversation, turn, role and text column.
+#: Layouts of one message of a list: role and text field.  The role field alone makes one fit.
+MESSAGES = {"role_content": ("role", "content"), "from_value": ("from", "value")}
+#: Layouts of tables with a row for each turn: conversation, turn, role and text column, and whether roles have names of its own.
 ROW_LAYOUTS = {
-    "turn_rows": ("conv_id", "turn", "role", "text"),
-    "message_rows": ("conversation_id", "index", "from", "value"),
+    "turn_rows": ("conv_id", "turn", "role", "text", False),
+    "message_rows": ("conversation_id", "index", "from", "value", True),
 }
 
 
@@ -41,53 +48,70 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-def _paths(layout: dict) -> list[str]:
-    if "each" in layout:
-        array, role, text = layout["each"]
-        return [array, f"{array}[].{role}", f"{array}[].{text}"]
-    return [p for _, p in layout["turns"]]
+def _print(paths: Column, known) -> Column:
+    """Fingerprint of those of a record's paths that are among ``known``."""
+    return F.sha2(F.array_join(F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, known)))), "\n"), 256)
+
+
+def _named(role: Column) -> Column:
+    """The canonical name of a role; null is empty."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))[role], role, F.lit(""))
 
 
 def row_turns(df: DataFrame) -> DataFrame:
-    """A table with a row for each turn -> (conv_id, turn, role, text), by the fingerprint of its columns.  Other columns are ignored."""
-    known = {c for cols in ROW_LAYOUTS.values() for c in cols}
-    chosen = {fingerprint(cols): cols for cols in ROW_LAYOUTS.values()}.get(fingerprint(known & set(df.columns)))
-    if chosen is None:
-        raise ValueError(f"no layout has the columns {sorted(known & set(df.columns))}")
-    return df.select(*(F.col(f"`{c}`").alias(to) for c, to in zip(chosen, ("conv_id", "turn", "role", "text"), strict=True)))
+    """A table with a row for each turn -> (conv_id, turn, role, text).
+
+    A table may hold rows of several layouts, each with its own columns filled: a row's
+    paths are its columns that aren't null, and their fingerprint selects the layout that
+    most of them belong to (none: the first one).  Only layouts whose columns the table
+    has all are asked; with none of them it is an error.  Other columns are ignored.
+    """
+    has = {c.lower() for c in df.columns}
+    fit = [cols for cols in ROW_LAYOUTS.values() if {c.lower() for c in cols[:4]} <= has]
+    if not fit:
+        raise ValueError(f"no layout has all its columns among {sorted(df.columns)}")
+    known = sorted({c for cols in fit for c in cols[:4]})
+    # every set of columns that a row may have filled, and the place of the layout that it selects
+    filled = [set(x) for n in range(len(known) + 1) for x in combinations(known, n)]
+    selects = {fingerprint(x): max(range(len(fit)), key=lambda i: (len(x & set(fit[i][:4])), -i)) for x in filled}
+    paths = F.array_compact(F.array(*(F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in known)))
+    (layout,) = fresh(df, "layout")
+    chosen = F.create_map(*(F.lit(x) for kv in selects.items() for x in kv))[_print(paths, known)]
+    d = df.withColumn(layout, chosen)
+
+    def pick(i: int, name: str) -> Column:
+        as_of = lambda cols: _named(F.col(f"`{cols[i]}`")) if i == 2 and cols[4] else F.col(f"`{cols[i]}`")
+        return F.coalesce(*(F.when(F.col(layout) == k, as_of(cols)) for k, cols in enumerate(fit))).alias(name)
+
+    return d.select(*(pick(i, name) for i, name in enumerate(("conv_id", "turn", "role", "text"))))
 
 
 def json_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """JSON records of mixed layouts -> (conv_id, turn, role, text).
 
     A record of no known layout (null and broken JSON too) gives one row with null
-    turn, role and text, so that nothing goes unseen.  Null or missing texts are empty.
+    turn, role and text, and so does an empty list; a message of no known layout is a
+    turn with null role and text: nothing goes unseen.  Null or missing texts are empty.
     """
-    j = F.col(json_col)
-    arrays = sorted({x["each"][0] for x in LAYOUTS.values() if "each" in x})
-    known = sorted({p for x in LAYOUTS.values() for p in _paths(x)})
-
-    def inside(array):
-        keys = F.coalesce(F.json_object_keys(F.get_json_object(j, f"$.{array}[0]")), F.array().cast("array<string>"))
-        return F.transform(keys, lambda k: F.concat(F.lit(f"{array}[]."), k))
-
-    def message(role, text):
-        return lambda x: F.struct(F.coalesce(role_map[x[role]], x[role], F.lit("")).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
-
-    inner = [inside(a) for a in arrays]
-    paths = F.array_sort(F.array_intersect(F.concat(F.coalesce(F.json_object_keys(j), F.array().cast("array<string>")), *inner), F.array(*map(F.lit, known))))
-    print_ = F.sha2(F.array_join(paths, "\n"), 256)
-    d = df.select(F.col(id_col).alias("conv_id"), j.alias("j"), print_.alias("print"))
-    role_map = F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))
+    keys = lambda j: F.coalesce(F.json_object_keys(j), F.array().cast("array<string>"))
+    d = df.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("j")).withColumn("paths", keys(F.col("j")))
+    field = lambda j, p: F.coalesce(F.get_json_object(j, f"$.{p}"), F.lit(""))
+    asks = lambda layout: [layout["array"]] if "array" in layout else [p for _, p in layout["turns"]]
+
+    def mapped(m):
+        out = F.lit(None).cast("struct<role:string,text:string>")
+        for role, text in reversed(MESSAGES.values()):
+            made = F.struct(_named(F.get_json_object(m, f"$.{role}")).alias("role"), field(m, text).alias("text"))
+            out = F.when(_print(keys(m), [role]) == fingerprint([role]), made).otherwise(out)
+        return out
+
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for layout in LAYOUTS.values():
-        if "each" in layout:
-            array, role, text = layout["each"]
-            rows = F.from_json(F.get_json_object("j", f"$.{array}"), f"array<struct<`{role}`:string,`{text}`:string>>")
-            made = F.transform(rows, message(role, text))
+    for layout in sorted(reversed(LAYOUTS.values()), key=lambda x: len(asks(x))):  # the one asked last decides first
+        if "array" in layout:
+            made = F.transform(F.from_json(F.get_json_object("j", f"$.{layout['array']}"), "array<string>"), mapped)
         else:
-            made = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(F.get_json_object("j", f"$.{p}"), F.lit("")).alias("text")) for r, p in layout["turns"]))
-        turns = F.when(F.col("print") == fingerprint(_paths(layout)), made).otherwise(turns)
+            made = F.array(*(F.struct(F.lit(r).alias("role"), field("j", p).alias("text")) for r, p in layout["turns"]))
+        turns = F.when(_print(F.col("paths"), asks(layout)) == fingerprint(asks(layout)), made).otherwise(turns)
     return d.select("conv_id", F.posexplode_outer(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
@@ -124,7 +148,8 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant", segment: int =
     texts are empty; repeated rows are turns of their own; null conv_ids are one
     conversation.  Runs of ``segment`` turns are written first, then joined, so that
     a long conversation meets in one task only as its finished parts.  A formatted
-    conversation is one value and must fit in a row (2 GB).
+    conversation is one value and must fit in a row (2 GB), and so is a very long text;
+    an empty table gives no rows, other columns are ignored.
     """
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("segment", F.expr(f"turn div {segment}"))
