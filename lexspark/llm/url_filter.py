@@ -2,8 +2,9 @@
 
 Labelled page outcomes are summed by host, registered domain and suffix.  Each
 level shrinks towards the one above it by a beta-binomial prior whose strength is
-estimated from the level's own overdispersion; a host whose posterior share of bad
-pages surely (lower bound) exceeds a threshold is blocked.
+estimated from the level's own overdispersion.  A host is blocked if the lower bound
+of its posterior share of bad pages exceeds a threshold, by default the share of all
+labelled pages: the host is worse than the average by more than chance would have it.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-THRESHOLD, Z = 0.5, 1.645
-#: A suffix of two labels: second-level registries under a country code.
-_SUFFIX = r"((?:co|com|org|net|ac|gov)\.[a-z]{2}|[^.]+)$"
+#: Standard deviations of the posterior between its mean and the bound.
+Z = 1.0
+#: Labels that under a country code make a suffix of two labels; a list of all registries isn't part of this package.
+SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov", "edu", "gob", "gouv", "govt", "mil", "go", "or", "ne", "nom", "sch")
+_SUFFIX = rf"((?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}|[^.]+)$"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -53,8 +56,8 @@ def _strength(groups: DataFrame) -> float:
     return (1 - rho) / rho
 
 
-def reputation(hosts: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
-    """hosts: (host, n, bad), a row a host -> (host, blocked)."""
+def reputation(hosts: DataFrame, threshold: float | None = None, z: float = Z) -> DataFrame:
+    """hosts: (host, n, bad), a row a host -> (host, blocked).  Without a threshold it is the share of bad ones among all labelled pages."""
     h = hosts.withColumns({"domain": F.regexp_extract("host", r"([^.]+\.)?" + _SUFFIX, 0), "suffix": F.regexp_extract("host", _SUFFIX, 0)})
     total = h.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     if not total["n"]:
@@ -71,15 +74,17 @@ def reputation(hosts: DataFrame, threshold: float = THRESHOLD, z: float = Z) ->
     d = domains.join(s, "suffix").select("suffix", "domain", shrunk(k2).alias("above"))
     p = h.join(d, ["suffix", "domain"]).select("host", shrunk(k3).alias("mean"), (F.col("n") + k3).alias("weight"))
     bound = F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    return p.select("host", (bound > threshold).alias("blocked"))
+    return p.select("host", (bound > (m0 if threshold is None else threshold)).alias("blocked"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float | None = None, z: float = Z) -> DataFrame:
     """pages: (page_id, url); outcomes: (page_id, bad 0/1), labelled pages -> page_id, host, path, rule, verdict.
 
     Hosts without labels rest on the levels above them; with no labels at all, and
     for urls without a host, the method allows.  Several labels of a page all count;
-    null labels don't.  Repeated pages are each judged.
+    null labels don't.  Repeated pages are each judged, and count once each; null ids
+    have no labels.  A very long url is cut like any other; empty tables give no rows
+    or, as outcomes, no blocks; other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession)
     host, path = split_url(F.col("url"))
@@ -105,7 +110,8 @@ j AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJ
 o AS (SELECT doc_id AS page_id, greatest(1 - quality, toxic) AS bad FROM labels),
 lab AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM j JOIN o USING (page_id) WHERE bad IS NOT NULL GROUP BY host),
 h AS (SELECT host, coalesce(n, 0)::DOUBLE AS n, coalesce(bad, 0)::DOUBLE AS bad,
-             regexp_extract(host, '([^.]+\.)?((?:co|com|org|net|ac|gov)\.[a-z]{2}|[^.]+)$', 0) AS domain, regexp_extract(host, '((?:co|com|org|net|ac|gov)\.[a-z]{2}|[^.]+)$', 0) AS suffix
+             regexp_extract(host, '([^.]+\.)?((?:co|com|org|net|ac|gov|edu|gob|gouv|govt|mil|go|or|ne|nom|sch)\.[a-z]{2}|[^.]+)$', 0) AS domain,
+             regexp_extract(host, '((?:co|com|org|net|ac|gov|edu|gob|gouv|govt|mil|go|or|ne|nom|sch)\.[a-z]{2}|[^.]+)$', 0) AS suffix
       FROM (SELECT DISTINCT host FROM j WHERE host <> '') LEFT JOIN lab USING (host)),
 g AS (SELECT sum(bad) / sum(n) AS m0 FROM h),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix),
@@ -117,7 +123,7 @@ k AS (SELECT lvl, (1 - rho) / rho AS k FROM (SELECT lvl, least(0.5, greatest(0.0
 s2 AS (SELECT suffix, (bad + k * m0) / (n + k) AS m FROM s, g, k WHERE lvl = 1),
 d2 AS (SELECT d.suffix, domain, (bad + k * m) / (n + k) AS m FROM d JOIN s2 USING (suffix), k WHERE lvl = 2),
 h2 AS (SELECT host, (bad + k * m) / (n + k) AS m, n + k AS w FROM h JOIN d2 USING (suffix, domain), k WHERE lvl = 3),
-b AS (SELECT host FROM h2 WHERE m - 1.645 * sqrt(m * (1 - m) / (w + 1)) > 0.5),
+b AS (SELECT host FROM h2, g WHERE m - sqrt(m * (1 - m) / (w + 1)) > m0),
 r AS (SELECT j.*, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
