@@ -1,35 +1,40 @@
 """Token counts as delta-maintained rollups.
 
 Inserts, deletes and revisions of documents become signed counts, summed by source,
-language and tokenizer version, and committed as batches.  A batch is a folder that
-appears by one rename, so a batch that is sent again changes nothing.  Totals are
-the sums of all batches; no document is counted twice to keep them.
+language and tokenizer version, and committed as batches.  A batch's sums are written
+to a folder of their own; one marker file, made only if it isn't there yet, makes
+them count.  So of several writers of a batch one wins, a batch that is sent again
+changes nothing, and a batch that fails half-way leaves nothing that counts.  Totals
+are the sums of all batches; no document is counted twice to keep them.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import Scratch, table
 
 KEYS = ["source", "lang", "tokenizer_version"]
 _encodings: dict = {}
 
 
-def _encoding(path: str | None):
-    """Byte-level BPE of a .tiktoken file; the packaged public one without a path. Loaded once a worker."""
-    if path not in _encodings:
+def _encoding(version: str, path: str | None = None):
+    """Byte-level BPE of a .tiktoken file; without a path the packaged public one of that name. Loaded once a worker."""
+    if (version, path) not in _encodings:
         import base64
 
         import public_tokenizers
         import tiktoken
 
-        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        with open(path or public_tokenizers.path(f"{version}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding("rollup", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        _encodings[version, path] = tiktoken.Encoding("rollup", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[version, path]
 
 
 def signed_counts(changes: DataFrame, tokenizer_version: str = "byte_bpe_50k", tokenizer_path: str | None = None) -> DataFrame:
@@ -37,11 +42,13 @@ def signed_counts(changes: DataFrame, tokenizer_version: str = "byte_bpe_50k", t
 
     sign is 1 for an insert and -1 for a delete; a revision is a delete of the old
     row and an insert of the new one.  Null and empty texts have no tokens but count
-    as documents; null sources and languages are keys of their own.
+    as documents; null sources and languages are keys of their own; changes without a
+    sign don't count.  Repeated rows each count.  A very long text is one text to the
+    tokenizer; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches):
-        enc = _encoding(tokenizer_path)
+        enc = _encoding(tokenizer_version, tokenizer_path)
         for b in batches:
             counts = [len(enc.encode_ordinary(t)) if t else 0 for t in (x.as_py() for x in b.column(3))]
             signs = b.column(0).to_pylist()
@@ -52,43 +59,109 @@ def signed_counts(changes: DataFrame, tokenizer_version: str = "byte_bpe_50k", t
     return counted.select("source", "lang", F.lit(tokenizer_version).alias("tokenizer_version"), "documents", "tokens")
 
 
+_SUMS = "source string, lang string, tokenizer_version string, documents long, tokens long"
+
+
 class TokenRollup:
-    """A store of batches under ``root``, a folder that driver and executors share."""
+    """A store of batches under ``root``, a folder that driver and executors share and whose file system makes a new file in one step."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
+    def _path(self, *parts: str):
         sc = self.spark.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p = sc._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
         return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
+    def _publish(self, content: dict, *parts: str) -> bool:
+        """Make a marker; False if it was there already."""
+        fs, p = self._path(*parts)
+        fs.mkdirs(p.getParent())
+        try:
+            out = fs.create(p, False)
+        except Exception as e:
+            if fs.exists(p):
+                return False
+            raise e
+        out.write(json.dumps(content).encode())
+        out.close()
+        return True
+
+    def _markers(self, kind: str) -> dict[str, dict]:
+        fs, top = self._path(kind)
+        if not fs.exists(top):
+            return {}
+        paths = [s.getPath() for s in fs.listStatus(top)]
+        read = self.spark.read.text([p.toString() for p in paths], wholetext=True).selectExpr("element_at(split(input_file_name(), '/'), -1) AS name", "value") if paths else None
+        return {r.name: json.loads(r.value) for r in read.collect()} if read else {}
+
+    def _staged(self, counts: DataFrame) -> tuple[str, DataFrame]:
+        name = uuid.uuid4().hex
+        sums = counts.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
+        folder = self._path("sums", name)[1].toString()
+        sums.write.parquet(folder)
+        return name, self.spark.read.schema(_SUMS).parquet(folder)
+
     def commit(self, batch_id: str, counts: DataFrame) -> bool:
-        """Add signed counts as one batch; False, and no change, if that batch is there already."""
-        fs, done = self._fs(f"{self.root}/batches/{batch_id}")
-        if fs.exists(done):
-            return False
-        sums = counts.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        _, made = self._fs(f"{self.root}/staged/{batch_id}")
-        sums.write.mode("overwrite").parquet(made.toString())
-        fs.mkdirs(done.getParent())
-        return bool(fs.rename(made, done))
+        """Add signed counts as one batch; False, and no change, if that batch is there already.
+
+        A batch that is sent again must hold the same sums, or it is an error.  An empty
+        batch counts as sent.
+        """
+        name, sums = self._staged(counts)
+        print_ = sums.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*KEYS, "documents", "tokens")).alias("x")).first()
+        content = {"sums": name, "rows": print_["n"], "hash": print_["x"]}
+        if self._publish(content, "batches", batch_id):
+            return True
+        known = self._markers("batches")[batch_id]
+        fs, folder = self._path("sums", name)
+        fs.delete(folder, True)
+        if (known["rows"], known["hash"]) != (content["rows"], content["hash"]):
+            raise ValueError(f"batch {batch_id} is there with other sums")
+        return False
+
+    def _live(self) -> tuple[list[str], dict[str, dict], int]:
+        """Folders whose sums make the totals, the batches, and the number of the last base."""
+        batches, bases = self._markers("batches"), self._markers("bases")
+        last = max(map(int, bases), default=0)
+        base = bases.get(str(last), {"sums": None, "batches": []})
+        return [x for x in (base["sums"],) if x] + [b["sums"] for i, b in batches.items() if i not in set(base["batches"])], batches, last
+
+    def compact(self) -> None:
+        """Sum all batches so far into one base; batches that are sent again are still known."""
+        folders, batches, last = self._live()
+        if len(folders) > 1:
+            name, _ = self._staged(self._sums(folders))
+            self._publish({"sums": name, "batches": sorted(batches)}, "bases", str(last + 1))
+
+    def _sums(self, folders: list[str]) -> DataFrame:
+        paths = [self._path("sums", f)[1].toString() for f in folders]
+        return self.spark.read.schema(_SUMS).parquet(*paths) if paths else self.spark.createDataFrame([], _SUMS)
 
     def totals(self) -> DataFrame:
         """KEYS, documents, tokens over all batches; keys whose counts are all back to zero are left out."""
-        fs, top = self._fs(f"{self.root}/batches")
-        paths = [str(s.getPath()) for s in fs.listStatus(top)] if fs.exists(top) else []
-        schema = "source string, lang string, tokenizer_version string, documents long, tokens long"
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        rows = self._sums(self._live()[0])
         return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch of inserts, sent twice, then the totals."""
-    import uuid
+    """The totals after four batches over all documents.
 
-    store = TokenRollup(spark, f"{shared_dir(spark)}/lexspark/rollup-{uuid.uuid4().hex}")
-    counts = signed_counts(table(spark, sf_dir, "documents").select(F.lit(1).alias("sign"), "source", "lang", "text"))
+    All are loaded; those labelled toxic are deleted; those labelled as of low quality
+    are revised, their white space collapsed, in a batch that is sent twice; what is
+    there then is counted with a second tokenizer.
+    """
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), table(spark, sf_dir, "labels")
+    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("toxic"), F.max(F.col("quality") == 0).alias("low"))
+    d = docs.join(marks, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("toxic", "low")})
+    signed = lambda df, sign, text=F.col("text"): df.select(F.lit(sign).alias("sign"), "source", "lang", text.alias("text"))
+    collapsed = F.regexp_replace("text", r"\s+", " ")
+    revised = d.where("low and not toxic")
+    store = TokenRollup(spark, f"{Scratch(spark).root}/rollup")
+    store.commit("load", signed_counts(signed(docs, 1)))
+    store.commit("toxic", signed_counts(signed(d.where("toxic"), -1)))
     for _ in range(2):
-        store.commit("load-documents", counts)
+        store.commit("revise", signed_counts(signed(revised, -1).unionByName(signed(revised, 1, collapsed))))
+    left = signed(d.where("not toxic"), 1, F.when(F.col("low"), collapsed).otherwise(F.col("text")))
+    store.commit("second-tokenizer", signed_counts(left, "byte_bpe_multi_50k"))
     return store.totals()
