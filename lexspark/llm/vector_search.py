@@ -1,11 +1,13 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors are packed into blocks; each block of queries meets each block of
-candidates as one row, a tile.  A tile's int8 product gives every inner product
-within a known quantisation error; a pair whose upper bound is below the k-th
-lower bound of its query can't be among the k nearest.  What is left is computed
-again in double precision, and a query's best are merged by a heap as its tiles
-pass.  The result is exact.
+Vectors are packed into blocks.  Groups of query blocks and stripes of candidate
+blocks make a grid; a task holds a cell's queries and lets its candidates pass, one
+block after the other.  The int8 product of two blocks, a tile, gives every inner
+product within a known quantisation error; a pair whose upper bound is below its
+query's floor can't be among the k nearest.  The floor is the k-th best of what the
+cell has seen, or the k-th lower bound of the tile if that is higher.  What is left
+is computed again in double precision and merged into the query's heap, and the
+heaps of a query's cells are merged last.  The result is exact.
 """
 
 from __future__ import annotations
@@ -19,7 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-K, QUERY_BLOCK, CANDIDATE_BLOCK, LANES = 20, 512, 2048, 48
+K, QUERY_BLOCK, CANDIDATE_BLOCK = 20, 512, 2048
+#: Bytes of query vectors that a task holds, and blocks of candidates that pass it, at most; both bound a task, so tasks grow with the tables.
+GROUP_BYTES, STRIPE = 1 << 24, 64
+#: Cells are no larger than that they would leave this many tasks without work.
+TASKS = 48
 #: Pairs computed again at once; bounds memory when many vectors tie.
 CHUNK = 1 << 15
 
@@ -74,8 +80,8 @@ def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _survivors(q, c, own: np.ndarray, k: int, exact_products: type):
-    """Index pairs, none of ``own``, that may be among their query's k nearest of the tile."""
+def _survivors(q, c, own: np.ndarray, floor: np.ndarray, k: int, exact_products: type):
+    """Index pairs, none of ``own``, that may be among their query's k nearest, of which those below ``floor`` aren't."""
     (qi, qs, qe, _), (ci, cs, ce, cn) = q, c
     near = (qi.astype(exact_products) @ ci.astype(exact_products).T).astype(np.float64) * qs[:, None] * cs[None, :]
     norm = np.sqrt((qi**2).sum(axis=1)) * qs + qe
@@ -83,62 +89,86 @@ def _survivors(q, c, own: np.ndarray, k: int, exact_products: type):
     slack = slack * (1 + 1e-9) + 1e-12 * (1 + np.abs(near))  # rounding of the bound itself
     if near.shape[1] > k:
         low = np.where(own, -np.inf, near - slack)
-        floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-        return np.nonzero((near + slack >= floor[:, None]) & ~own)
-    return np.nonzero(~own)
+        floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
+    return np.nonzero((near + slack >= floor[:, None]) & ~own)
 
 
-def _tile_search(k: int):
-    def search(batches):
-        def result(heaps):
-            rows = [(q, s, -n) for q, h in heaps.items() for s, n in h]
-            return pa.RecordBatch.from_pydict({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[2] for r in rows], pa.int64()), "score": pa.array([r[1] for r in rows], pa.float64())})
+class _Block:
+    """Queries that a task holds, with a heap of (score, -vec_id) each."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors, self.quantised = ids, vectors, _quantised(vectors)
+        self.heaps: list[list] = [[] for _ in ids]
+        self.floor = np.full(len(ids), -np.inf)
+
+    def pass_by(self, ids: np.ndarray, vectors: np.ndarray, quantised, k: int) -> None:
+        exact = np.float32 if 127 * 127 * vectors.shape[1] < 1 << 24 else np.float64
+        a, b = _survivors(self.quantised, quantised, self.ids[:, None] == ids[None, :], self.floor, k, exact)
+        for s in range(0, len(a), CHUNK):
+            x, y = a[s : s + CHUNK], b[s : s + CHUNK]
+            for i, n, score in zip(x.tolist(), ids[y].tolist(), _inner(self.vectors[x], vectors[y]).tolist(), strict=True):
+                h, new = self.heaps[i], (score, -n)
+                if len(h) < k:
+                    heapq.heappush(h, new)
+                elif new > h[0]:
+                    heapq.heapreplace(h, new)
+        self.floor = np.array([h[0][0] if len(h) == k else -np.inf for h in self.heaps])
+
+    def best(self):
+        rows = [(q, s, -n) for q, h in zip(self.ids.tolist(), self.heaps, strict=True) for s, n in h]
+        return pa.RecordBatch.from_pydict({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[2] for r in rows], pa.int64()), "score": pa.array([r[1] for r in rows], pa.float64())})
 
-        at, heaps, q = None, {}, None  # of one query block: query id -> heap of (score, -vec_id)
+
+def _cell_search(k: int):
+    """Rows (cell, is_candidate, dim, ids, vectors), a cell's queries before its candidates -> (query_id, vec_id, score)."""
+
+    def search(batches):
+        at, held = None, []
         for batch in batches:
             for t in range(batch.num_rows):
-                row = {n: batch.column(n)[t].as_py() for n in ("dim", "query_block", "q_ids", "q_vectors", "ids", "vectors")}
-                if row["query_block"] != at:
-                    if heaps:
-                        yield result(heaps)
-                    at, q_ids = row["query_block"], np.frombuffer(row["q_ids"], np.int64)
-                    qv = np.frombuffer(row["q_vectors"], np.float64).reshape(-1, row["dim"])
-                    heaps, q = {int(i): [] for i in q_ids}, _quantised(qv)
-                ids, cv = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
-                exact = np.float32 if 127 * 127 * row["dim"] < 1 << 24 else np.float64
-                a, b = _survivors(q, _quantised(cv), q_ids[:, None] == ids[None, :], k, exact)
-                for s in range(0, len(a), CHUNK):
-                    x, y = a[s : s + CHUNK], b[s : s + CHUNK]
-                    for i, n, score in zip(q_ids[x].tolist(), ids[y].tolist(), _inner(qv[x], cv[y]).tolist(), strict=True):
-                        h, new = heaps[i], (score, -n)
-                        if len(h) < k:
-                            heapq.heappush(h, new)
-                        elif new > h[0]:
-                            heapq.heapreplace(h, new)
-        if heaps:
-            yield result(heaps)
+                cell, passing, dim, ids, vectors = (batch.column(n)[t].as_py() for n in ("cell", "is_candidate", "dim", "ids", "vectors"))
+                if cell != at:
+                    yield from (b.best() for b in held)
+                    at, held = cell, []
+                ids, vectors = np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim)
+                if passing:
+                    quantised = _quantised(vectors)
+                    for block in held:
+                        block.pass_by(ids, vectors, quantised, k)
+                else:
+                    held.append(_Block(ids, vectors))
+        yield from (b.best() for b in held)
 
     return search
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, lanes: int = LANES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
     """The ``k`` nearest of ``vectors`` to each of ``queries`` by inner product: query_id, rank, vec_id, score.
 
     Exact: nearest first, ties to the smaller vec_id; all candidates if there are
     fewer than ``k``.  Null ids, and vectors that are null, empty, zero or hold null or
     non-finite components take no part.  A query meets vectors of its own length
-    only, and never rows of its own id.  Of queries that share an id one is used, the
-    first by its vector; rows that repeat id and vector are one candidate, rows that
-    repeat an id with another vector are candidates of their own.
+    only, and never rows of its own id.  Every other row is a candidate, rows that
+    repeat an id too.  Of queries that share an id one is used, the first by its
+    vector.  Empty tables give no rows; other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession)
     own = _clean(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
-    q = scratch.table(_packed(own, QUERY_BLOCK).withColumn("query_block", F.monotonically_increasing_id()), "queries")
-    c = _packed(_clean(vectors, id_col, vector_col).dropDuplicates(), CANDIDATE_BLOCK)
-    c = scratch.table(c.withColumn("lane", F.pmod(F.monotonically_increasing_id() % 8589934592 + F.spark_partition_id(), F.lit(lanes)).cast("int")), "candidates")
-    q = q.select("dim", "query_block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    tiles = q.join(c, ["dim", "lane"]).sortWithinPartitions("query_block")
-    best = tiles.select("dim", "query_block", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(_tile_search(k), "query_id long, vec_id long, score double")
+    numbered = lambda df: df.withColumn("number", F.monotonically_increasing_id())
+    q = scratch.table(numbered(_packed(own, QUERY_BLOCK)), "queries")
+    c = scratch.table(numbered(_packed(_clean(vectors, id_col, vector_col), CANDIDATE_BLOCK)), "candidates")
+    # the grid of each dimension: as many groups of queries and stripes of candidates as the bounds ask for
+    count = lambda df, n: df.groupBy("dim").agg(F.count(F.lit(1)).alias(n))
+    groups = F.ceil(F.col("q_blocks") * QUERY_BLOCK * F.col("dim") * 8 / GROUP_BYTES)
+    stripes = F.greatest(F.ceil(F.col("c_blocks") / STRIPE), F.least("c_blocks", F.ceil(TASKS / groups)))
+    grid = scratch.table(count(q, "q_blocks").join(count(c, "c_blocks"), "dim").select("dim", groups.alias("groups"), stripes.alias("stripes")), "grid")
+    cells = grid.agg(F.sum(F.col("groups") * F.col("stripes"))).first()[0] or 1
+    deal = lambda df, n: df.join(grid, "dim").withColumn("own", F.pmod(F.xxhash64("number"), F.col(n)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
+    held = deal(q, "groups").select("dim", F.col("own").alias("group"), upto("stripes"), F.lit(False).alias("is_candidate"), "ids", "vectors").withColumnRenamed("other", "stripe")
+    passing = deal(c, "stripes").select("dim", upto("groups"), F.col("own").alias("stripe"), F.lit(True).alias("is_candidate"), "ids", "vectors").withColumnRenamed("other", "group")
+    met = held.unionByName(passing).withColumn("cell", F.struct("dim", "group", "stripe")).repartition(min(cells, 1 << 15), "cell").sortWithinPartitions("cell", "is_candidate")
+    best = met.select("cell", "is_candidate", "dim", "ids", "vectors").mapInArrow(_cell_search(k), "query_id long, vec_id long, score double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
