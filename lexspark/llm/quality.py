@@ -1,6 +1,7 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
-Each feature of a text has a lookup table over quantile bins, each chosen pair of
+Features are counts of characters and word shapes, and the rates of words by hashed
+bucket.  Each feature has a lookup table over quantile bins, each chosen pair of
 features one over coarse bins.  Tables are the sums of shallow trees, boosted in
 cycles over the features on histograms.  A score is a sum of table entries.
 """
@@ -21,6 +22,8 @@ from .shingles import _SPACE, PIECE, _words
 MAX_TRAINING_ROWS = 100_000
 THRESHOLD = 0.3
 BINS, COARSE = 32, 8
+#: Buckets that words are hashed to; the rate of each is a feature.
+WORD_BUCKETS = 24
 _PUNCT = np.zeros(256, np.uint8)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
 
@@ -34,7 +37,8 @@ def _flags(*ranges) -> np.ndarray:
 
 #: Byte classes that are counted: upper, lower, digit, symbols but . and , then . , newline | non-ASCII, white space.
 _CLASSES = [_flags((65, 90)), _flags((97, 122)), _flags((48, 57)), _PUNCT - _flags((44, 44), (46, 46)), _flags((46, 46)), _flags((44, 44)), _flags((10, 10)), _flags((124, 124)), _flags((128, 255)), _SPACE.astype(np.uint8)]
-NAMES = ("bytes", "words", "word_length", "upper", "digits", "symbols", "stops", "commas", "newlines", "pipes", "non_ascii", "distinct", "commonest", "repeats", "odd_ends", "distinct_runs", "short_words", "long_words", "upper_starts")
+NAMES = ("bytes", "words", "word_length", "upper", "digits", "symbols", "stops", "commas", "newlines", "pipes", "non_ascii", "distinct", "commonest", "repeats", "odd_ends", "distinct_runs", "short_words", "long_words", "upper_starts",
+         *(f"word_bucket_{k}" for k in range(WORD_BUCKETS)))
 
 
 class _Sums:
@@ -51,9 +55,10 @@ class _Sums:
         _, counts = np.unique(w, return_counts=True)
         runs = w[:-2] * np.uint64(3) + w[1:-1] * np.uint64(5) + w[2:] * np.uint64(7) if len(w) > 2 else w
         letters = max(1.0, c[0] + c[1])
+        buckets = np.bincount(((w >> np.uint64(32)) % np.uint64(WORD_BUCKETS)).astype(np.int64), minlength=WORD_BUCKETS)
         return np.array([
             np.log1p(size), np.log1p(len(w)), ink / n, c[0] / letters, c[2] / ink, c[3] / ink, c[4] / n, c[5] / n, c[6] / n, c[7] / n, c[8] / ink,
-            len(counts) / n, counts.max(initial=0) / n, (w[1:] == w[:-1]).sum() / n, self.ends[0] / n, len(np.unique(runs)) / max(1, len(runs)), self.ends[1] / n, self.ends[2] / n, self.ends[3] / n,
+            len(counts) / n, counts.max(initial=0) / n, (w[1:] == w[:-1]).sum() / n, self.ends[0] / n, len(np.unique(runs)) / max(1, len(runs)), self.ends[1] / n, self.ends[2] / n, self.ends[3] / n, *(buckets / n),
         ])
 
 
@@ -207,56 +212,62 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> Model:
+    """A model of the labelled rows of ``docs`` that aren't held out: of a hash-random sample of ``max_rows``, if there are more.
+
+    Labels are sampled before their texts are read, and written, so that the texts are
+    filtered by a small table; rows are sampled again if repeated ids multiply them.
+    """
+    scratch = Scratch(docs.sparkSession)
+
+    def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:
+        return df if n <= max_rows else df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int((1 << 30) * (max_rows / n)))
+
+    own = labels.select(F.col("doc_id").cast("long").alias("id"), "quality").where("quality is not null and id is not null").where(~held_out("id"))
+    own = scratch.table(sampled(own, own.count(), "id"), "labels")
+
     def run(batches):
         for b in batches:
-            x = text_features(b.column(1))
+            x = text_features(b.column(2))
             flat = pa.array(x.astype(np.float32).ravel())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)), flat)], ["doc_id", "x"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<float>")
-
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)), flat)], ["id", "quality", "x"])
 
-def train(features: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """features: (doc_id, x); labels: (doc_id, quality).  Only rows that aren't held out are learned from."""
-    own = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null").where(~held_out("doc_id"))
-    n = own.count()
-    if n > max_rows:
-        own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * (max_rows / n)))
-    rows = features.join(own, "doc_id").select("doc_id", "quality", "x").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(own, "id")
+    rows = scratch.table(texts.select("id", F.col("quality").cast("double"), "text").mapInArrow(run, "id long, quality double, x array<float>").withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = sampled(rows, rows.count(), "row").select("id", "quality", "x").toArrow().sort_by([("id", "ascending"), ("quality", "ascending")])
     x = np.array(rows["x"].combine_chunks().flatten(), np.float64).reshape(-1, len(NAMES))
     return fit(x, rows["quality"].to_numpy().astype(float))
 
 
-def scored(features: DataFrame, model: Model) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            x = np.array(b.column(1).flatten(), np.float64).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["doc_id", "score"])
-
-    return features.mapInArrow(run, "doc_id long, score double")
+def _scores(model: Model, texts) -> np.ndarray:
+    return model.score(text_features(texts).astype(np.float32).astype(np.float64))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    The score rests on the text alone.  Null and empty texts are scored alike.  Rows
-    of repeated ids are each scored; a label of a repeated id counts for each of its
-    rows.  Without labels every score is 0.5.  Other columns are ignored.
+    The score rests on the text alone.  Null and empty texts are scored alike, very
+    long ones are read in pieces.  Rows of repeated ids are each scored; a label of a
+    repeated id counts for each of its rows.  Without labels every score is 0.5.  An
+    empty table gives no rows.  Other columns are ignored.
     """
-    features = Scratch(docs.sparkSession).table(featured(docs, id_col, text_col), "features")
-    out = scored(features, train(features, labels))
+    model = train(docs, labels, id_col, text_col)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model, b.column(1)))], ["doc_id", "score"])
+
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that classify() predicts 1 for, scored as they are read, without a shuffle of texts."""
-    model = train(Scratch(docs.sparkSession).table(featured(docs, id_col, text_col), "features"), labels)
+    model = train(docs, labels, id_col, text_col)
 
     def run(batches):
         for b in batches:
-            x = text_features(b.column(text_col)).astype(np.float32).astype(np.float64)
-            yield b.filter(pa.array(model.score(x) >= threshold))
+            yield b.filter(pa.array(_scores(model, b.column(text_col)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
