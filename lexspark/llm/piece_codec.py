@@ -122,7 +122,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     ids are those of the model's own library for the whole text.  Null and empty texts
     have none.  round_trip says that decode() gives the text back; it is false only
     where a text holds U+2581, which the model takes for a blank (null counts as
-    empty).  Repeated rows are each encoded; other columns are ignored.
+    empty).  Repeated rows are each encoded; other columns are ignored; an empty table
+    gives no rows.  A giant text without a place to cut is one chunk.  ``docs`` must
+    give the same rows in the same partitions when it is read again (files or a
+    checkpoint), as rows are numbered by their place.
     """
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
