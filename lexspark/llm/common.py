@@ -69,9 +69,16 @@ class Scratch:
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         return f(p.getFileSystem(sc._jsc.hadoopConfiguration()), p)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    def table(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """``df``, written and read again.  batch: rows that Python workers are given at once meanwhile, for rows that hold texts or sets."""
+        path, rows = f"{self.root}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(rows)
+        try:
+            if batch:
+                self.spark.conf.set(rows, batch)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(rows, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

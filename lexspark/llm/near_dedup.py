@@ -30,6 +30,8 @@ from .shingles import _mix, shingle_sets
 REGISTERS, BAND, MANTISSA = 160, 4, 10
 #: Open groups of up to SMALL nodes are settled pair by pair, others as blocks.
 SMALL, HUB_ROUNDS = 16, 3
+#: Texts that a worker is given at once.
+TEXTS = 1000
 #: Sets and hashes of a block, as expected.
 BLOCK, BLOCK_HASHES = 128, 1 << 17
 #: Linked if 100 * intersection >= 75 * union.
@@ -124,22 +126,6 @@ def _likely(batches):
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(j >= _LIKELY))
 
 
-def _linked(batches):
-    for x in batches:
-        a, b = x.column(2), x.column(3)
-        av, ao, bv, bo = a.values.to_numpy(), a.offsets.to_numpy(), b.values.to_numpy(), b.offsets.to_numpy()
-        keep = np.zeros(x.num_rows, bool)
-        for i in range(x.num_rows):
-            p, q = av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]]
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            both = int((q[at] == p).sum()) if len(q) else 0
-            keep[i] = both > 0 and 100 * both >= PERCENT * (len(p) + len(q) - both)
-        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-
 def _sets_of(batches):
     """(nid, text) -> (nid, hashes), sorted."""
     for b in batches:
@@ -194,7 +180,9 @@ class _Links:
         p = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
         likely = self.scratch.table(p.select("a", "b", "sa", "na", "sb", "nb").mapInArrow(_likely, "a long, b long"), f"likely-{self.round}")
         sets = lambda x: self.sets.select(F.col("nid").alias(x), F.col("hashes").alias(f"h{x}"))
-        new = self.scratch.table(likely.join(sets("b"), "b").join(sets("a"), "a").select("a", "b", "ha", "hb").mapInArrow(_linked, "a long, b long"), f"edges-{self.round}")
+        met = likely.join(sets("b"), "b").join(sets("a"), "a").withColumn("both", F.size(F.array_intersect("ha", "hb")).cast("long"))
+        linked = met.where(f"both > 0 and 100 * both >= {PERCENT} * (size(ha) + size(hb) - both)")
+        new = self.scratch.table(linked.select("a", "b"), f"edges-{self.round}")
         self.take(new)
         self.scratch.drop(f"likely-{self.round}", f"edges-{self.round}")
 
@@ -358,7 +346,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch = Scratch(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text_key"))
     made = d.mapInArrow(_sketched, "doc_id long, text_key binary, n long, digest binary, sketch binary")
-    read = scratch.table(made.withColumn("row", F.monotonically_increasing_id()), "sketched")
+    read = scratch.table(made.withColumn("row", F.monotonically_increasing_id()), "sketched", TEXTS)
     named = scratch.table(read.where("n > 0").groupBy("digest").agg(F.min("row").alias("nid"), F.min("doc_id").alias("min_doc")), "named")
     nodes = scratch.table(read.select(F.col("row").alias("nid"), "n", "sketch", "text_key").join(named.select("nid"), "nid", "left_semi"), "nodes")
     rows = scratch.table(nodes.select("nid", "sketch").mapInArrow(_dealt, "key long, nid long"), "dealt")
@@ -366,8 +354,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = scratch.table(_weighed(scratch.table(rows.join(shared, "key"), "shared-rows"), "size"), "members")
     scratch.drop("dealt", "shared", "shared-rows")
     wanted = scratch.table(nodes.select("nid", "text_key").join(members.select("nid").distinct(), "nid", "left_semi"), "wanted")
-    texts = d.select("text_key", "text").join(wanted, "text_key").dropDuplicates(["nid"])  # copies of a text are met here
-    sets = scratch.table(texts.select("nid", "text").mapInArrow(_sets_of, "nid long, hashes array<long>"), "sets-read")
+    texts = d.select("text_key", "text").dropDuplicates(["text_key"]).join(wanted, "text_key")  # copies are met before the shuffle
+    sets = scratch.table(texts.select("nid", "text").mapInArrow(_sets_of, "nid long, hashes array<long>"), "sets-read", TEXTS)
     links = _Links(nodes, sets, scratch)
     links.add(_hub_pairs(links.open(members, ["key"], "bucket")))
     scratch.drop("bucket-open-0")

@@ -6,7 +6,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes of text hashed at once; a longer text is hashed in pieces cut at white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
