@@ -37,14 +37,15 @@ def _encoding(version: str, path: str | None = None):
     return _encodings[version, path]
 
 
-def signed_counts(changes: DataFrame, tokenizer_version: str = "byte_bpe_50k", tokenizer_path: str | None = None) -> DataFrame:
-    """changes: (sign, source, lang, text) -> KEYS, documents, tokens, a row for each change.
+def signed_counts(changes: DataFrame, tokenizer_version: str = "byte_bpe_50k", tokenizer_path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """changes: (sign, source, lang, text) -> KEYS, documents, tokens, a row for each change, and the columns named in ``keep``.
 
     sign is 1 for an insert and -1 for a delete; a revision is a delete of the old
     row and an insert of the new one.  Null and empty texts have no tokens but count
     as documents; null sources and languages are keys of their own; changes without a
     sign don't count.  Repeated rows each count.  A very long text is one text to the
-    tokenizer; an empty table gives no rows; other columns are ignored.
+    tokenizer; an empty table gives no rows; other columns are ignored.  Written with
+    an id, the counts let later deletes be signed without their texts.
     """
 
     def run(batches):
@@ -52,11 +53,13 @@ def signed_counts(changes: DataFrame, tokenizer_version: str = "byte_bpe_50k", t
         for b in batches:
             counts = [len(enc.encode_ordinary(t)) if t else 0 for t in (x.as_py() for x in b.column(3))]
             signs = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array([s * c for s, c in zip(signs, counts, strict=True)], pa.int64())], ["source", "lang", "documents", "tokens"])
+            tokens = pa.array([s * c for s, c in zip(signs, counts, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), tokens, *b.columns[4:]], ["source", "lang", "documents", "tokens", *keep])
 
-    rows = changes.select(F.col("sign").cast("long").alias("sign"), "source", "lang", "text").where("sign is not null")
-    counted = rows.mapInArrow(run, "source string, lang string, documents long, tokens long")
-    return counted.select("source", "lang", F.lit(tokenizer_version).alias("tokenizer_version"), "documents", "tokens")
+    rows = changes.select(F.col("sign").cast("long").alias("sign"), "source", "lang", "text", *keep).where("sign is not null")
+    kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    counted = rows.mapInArrow(run, f"source string, lang string, documents long, tokens long{kept}")
+    return counted.select("source", "lang", F.lit(tokenizer_version).alias("tokenizer_version"), "documents", "tokens", *keep)
 
 
 _SUMS = "source string, lang string, tokenizer_version string, documents long, tokens long"
@@ -147,21 +150,26 @@ class TokenRollup:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The totals after four batches over all documents.
 
-    All are loaded; those labelled toxic are deleted; those labelled as of low quality
-    are revised, their white space collapsed, in a batch that is sent twice; what is
-    there then is counted with a second tokenizer.
+    All are loaded; those with e-mail addresses are revised, the addresses masked, in a
+    batch that is sent twice; those labelled toxic are deleted; what is there then is
+    counted with a second tokenizer.  Texts are counted once a tokenizer and revision:
+    deletes sign the counts that were written, so no text is shuffled.
     """
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), table(spark, sf_dir, "labels")
-    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("toxic"), F.max(F.col("quality") == 0).alias("low"))
-    d = docs.join(marks, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("toxic", "low")})
-    signed = lambda df, sign, text=F.col("text"): df.select(F.lit(sign).alias("sign"), "source", "lang", text.alias("text"))
-    collapsed = F.regexp_replace("text", r"\s+", " ")
-    revised = d.where("low and not toxic")
-    store = TokenRollup(spark, f"{Scratch(spark).root}/rollup")
-    store.commit("load", signed_counts(signed(docs, 1)))
-    store.commit("toxic", signed_counts(signed(d.where("toxic"), -1)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.lit(1).alias("sign"))
+    docs = docs.withColumn("mail", F.coalesce(F.contains("text", F.lit("@")), F.lit(False)))
+    masked = docs.withColumn("text", F.when(F.col("mail"), F.regexp_replace("text", r"[^\s@]+@[^\s@]+", "@")).otherwise(F.col("text")))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    scratch = Scratch(spark)
+    old = scratch.table(signed_counts(docs, keep=("doc_id", "mail")), "old")
+    new = scratch.table(signed_counts(masked.where("mail"), keep=("doc_id",)), "new")
+    second = scratch.table(signed_counts(masked, "byte_bpe_multi_50k", keep=("doc_id",)), "second")
+    negative = lambda df: df.select(*KEYS, (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens"))
+    sums = [*KEYS, "documents", "tokens"]
+    store = TokenRollup(spark, f"{scratch.root}/rollup")
+    store.commit("load", old.select(sums))
     for _ in range(2):
-        store.commit("revise", signed_counts(signed(revised, -1).unionByName(signed(revised, 1, collapsed))))
-    left = signed(d.where("not toxic"), 1, F.when(F.col("low"), collapsed).otherwise(F.col("text")))
-    store.commit("second-tokenizer", signed_counts(left, "byte_bpe_multi_50k"))
+        store.commit("revise", negative(old.where("mail")).unionByName(new.select(sums)))
+    current = old.where("not mail").drop("mail").unionByName(new)
+    store.commit("toxic", negative(current.join(toxic, "doc_id", "left_semi")))
+    store.commit("second-tokenizer", second.join(toxic, "doc_id", "left_anti").select(sums))
     return store.totals()
