@@ -33,14 +33,6 @@ def phrase(c: Column) -> Column:
     return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
 
 
-def statute_text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.replace(fold(c), F.lit("º"), F.lit("o")), "[^a-z0-9/]+", " "))
-
-
-def class_token(c: Column) -> Column:
-    return F.regexp_replace(fold(c), "[^a-z0-9/-]", "")
-
-
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -57,32 +49,11 @@ def number_key(number: Column, uf: Column | None = None) -> Column:
     return d if uf is None else F.when(uf.isNull() | (uf == ""), d).otherwise(F.concat(d, F.lit("|"), F.upper(uf)))
 
 
-def read_ocr_digits(c: Column) -> Column:
-    return F.translate(c, fixed.OCR_LETTERS, fixed.OCR_DIGITS)
-
-
-def ocr_word_readings(c: Column) -> Column:
-    """Up to three readings of a misread word."""
-    m = F.replace(c, F.lit("rn"), F.lit("m"))
-    return F.array_distinct(F.array(F.translate(m, "015", "ols"), F.translate(m, "015", "ois"), F.translate(c, "015", "ols")))
-
-
-def letters_in_words(c: Column) -> Column:
-    """0, 1 and 5 next to a letter are read as o, l and s."""
-    for d, x in zip("015", "ols", strict=True):
-        c = F.regexp_replace(c, f"(?<=[A-Za-z]){d}|{d}(?=[A-Za-z])", x)
-    return c
-
-
 def distance(a: Column, b: Column) -> Column:
     """Levenshtein distance over b's length; 1 if b is empty."""
     return F.when(F.length(b) == 0, F.lit(1.0)).otherwise(F.levenshtein(a, b) / F.length(b))
 
 
-def full_year(y: Column) -> Column:
-    return F.when(F.length(y) == 4, y).when(y.cast("int") > 30, F.concat(F.lit("19"), y)).otherwise(F.concat(F.lit("20"), y))
-
-
 def dotted(n: Column) -> Column:
     """An integer with dots between its thousands."""
     return F.translate(F.format_number(n, 0), ",", ".")
@@ -108,12 +79,6 @@ def heading_class(text: Column, n: int = 220) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(head, fixed.HEAD_NUMBER, ""), "[^A-Z0-9]+", " "))
 
 
-def header_end(text: Column) -> Column:
-    """Where a document's header ends: before its first section title, or after 600 characters."""
-    before = F.regexp_extract(text, rf"(?s)^(.*?){fixed.SECTION_TITLE}", 1)
-    return F.when(text.rlike(fixed.SECTION_TITLE), F.length(before)).otherwise(F.least(F.length(text), F.lit(fixed.HEADER_LENGTH)))
-
-
 def iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     both = F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0))
     either = (a1 - a0) + (b1 - b0) - both

@@ -80,10 +80,11 @@ def build(registry: DataFrame) -> Index:
     """registry: (id, court, nature, text) -> Index.
 
     A key that is a record's own number anywhere is no other record's secondary one.
-    Súmulas and statutes hold one record a key: the one scanned last, that is of the largest document_id.
+    Súmulas and statutes hold one record a key: the one that a scan meets last, that is
+    of the largest place if the registry has places, else of the largest document_id or id.
     """
-    order = F.col("document_id") if "document_id" in registry.columns else F.col("id")
-    r = registry.select(F.col("id").cast("string").alias("id"), F.col("court"), "nature", "text", order.cast("string").alias("place"))
+    order = next(F.col(c) for c in ("place", "document_id", "id") if c in registry.columns)
+    r = registry.select(F.col("id").cast("string").alias("id"), F.col("court"), "nature", "text", order.alias("place"))
     rows = case_keys(r.where("nature = 'acordao'"))
     own = rows.where("layer = 0")
     other = rows.where("layer = 1").join(own.select("key").distinct(), "key", "left_anti")

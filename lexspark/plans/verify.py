@@ -10,14 +10,17 @@ from lexspark.operators.arbitrate import arbitrate
 from lexspark.operators.detect import find_candidates
 from lexspark.operators.index import Index
 from lexspark.operators.resolve import resolve
+from lexspark.shared import written
 
 
 def verify(docs: DataFrame, index: Index, diffuse: bool = False, calibrated: bool = False, neutral: tuple[str, ...] = ()) -> DataFrame:
     """docs: (document_id, raw) -> a row a citation, numbered by place, in offsets of the raw text.
 
-    Overlaps are settled before the lookups: they don't depend on them, and fewer rows are joined.
+    Overlaps are settled before the lookups: they don't depend on them, and fewer rows are
+    joined.  The lookups read what is left several times, so it is written first: texts
+    are read once.
     """
-    found = resolve(arbitrate(find_candidates(docs, diffuse, neutral)), index, calibrated)
+    found = resolve(written(arbitrate(find_candidates(docs, diffuse, neutral))), index, calibrated)
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("start"))
     return found.select(
         "document_id", F.concat(F.lit("c"), number).alias("citation_id"), F.col("raw_start").alias("start"), F.col("raw_end").alias("end"), F.col("raw_surface").alias("surface"),

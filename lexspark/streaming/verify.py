@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexspark.operators.index import Index
 from lexspark.plans.verify import verify
+from lexspark.shared import scope
 
 
 def verify_stream(spark: SparkSession, folder: str, index: Index, out: str, checkpoint: str, schema: str = "document_id string, raw string", **modes):
@@ -15,7 +16,8 @@ def verify_stream(spark: SparkSession, folder: str, index: Index, out: str, chec
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        verify(batch, index, **modes).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with scope(spark):
+            verify(batch, index, **modes).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     docs = spark.readStream.schema(schema).parquet(folder)
     return docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
