@@ -84,3 +84,90 @@ def violations(documents: DataFrame, citations: DataFrame) -> DataFrame:
     rows = citations.select("document_id", F.col("citation_id").alias("g"), "start", "end")
     pairs = overlapping(rows, rows.withColumnRenamed("g", "p")).where("g < p").select("document_id", F.col("p").alias("citation_id"), F.lit("overlaps another").alias("problem"))
     return found.unionByName(twice).unionByName(pairs)
+
+
+def file_problems(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """(document_id, problem) of contract files: those that are missing, aren't JSON, name another document or no version, or have no document.
+
+    documents: (document_id); files: (document_id, json), the id being the file's name.
+    """
+    d = documents.select(F.col("document_id").cast("string").alias("document_id"), F.lit(True).alias("wanted"))
+    f = files.select("document_id", "json", F.lit(True).alias("there"))
+    j = d.join(f, "document_id", "full")
+    at = lambda p: F.get_json_object("json", p)
+    broken = F.json_object_keys("json").isNull()
+    checks = {
+        "no file": F.col("wanted") & F.col("there").isNull(), "no document": F.col("there") & F.col("wanted").isNull(), "not JSON": F.col("there") & broken,
+        "names another document": F.col("there") & ~broken & ~at("$.documento_id").eqNullSafe(F.col("document_id")), "no version": F.col("there") & ~broken & (F.coalesce(at("$.schema_version"), F.lit("")) == ""),
+    }
+    return j.select("document_id", F.explode(F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in checks.items())))).alias("problem"))
+
+
+def solution(gold: DataFrame) -> DataFrame:
+    """(documento_id, nivel, citacoes): start,end,class,ids joined by |, in order of g; ids joined by a colon, a dash for none."""
+    ids = F.when(F.size("ids") > 0, F.array_join("ids", ":")).otherwise("-")
+    one = F.concat_ws(",", F.col("start").cast("string"), F.col("end").cast("string"), "verdict", ids)
+    rows = gold.groupBy("document_id").agg(F.max("level").alias("nivel"), F.array_sort(F.collect_list(F.struct("g", one.alias("s")))).alias("s"))
+    return rows.select(F.col("document_id").alias("documento_id"), "nivel", F.array_join(F.transform("s", lambda x: x["s"]), "|").alias("citacoes"))
+
+
+def external_score(solution_rows: DataFrame, submission_rows: DataFrame, path: str) -> dict:
+    """The result of a metric given as a Python file with avaliar(solution, submission, row_id), over pandas frames of one row a document, sorted by id."""
+    import importlib.util
+
+    spec = importlib.util.spec_from_file_location("external_metric", path)
+    metric = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(metric)
+    sol = solution_rows.orderBy("documento_id").toPandas()
+    sub = solution_rows.select("documento_id").join(submission_rows, "documento_id", "left").fillna("-", ["citacoes"]).orderBy("documento_id").toPandas()
+    return metric.avaliar(sol, sub, row_id="documento_id")
+
+
+def verdict_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(level, class, tp, fp, fn, f1, macro_f1, tau) of matched citations; a verdict on an unmatched one counts as false.
+
+    macro_f1 is the mean over the classes of a level; tau the share of invented citations that are called real.
+    """
+    m = greedy_match(gold, predicted).select("document_id", "g", "p")
+    levels = gold.groupBy("document_id").agg(F.max("level").alias("level"))
+    g = gold.select("document_id", "g", F.col("verdict").alias("gold"))
+    p = predicted.select("document_id", "p", F.col("verdict").alias("said"))
+    pairs = g.join(m, ["document_id", "g"], "left").join(p, ["document_id", "p"], "full").join(levels, "document_id", "left").select("level", "gold", "said")
+    rows = pairs.select("level", "gold", "said", F.explode(F.array_distinct(F.array_compact(F.array("gold", "said")))).alias("class"))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    is_gold, is_said = F.col("class").eqNullSafe(F.col("gold")), F.col("class").eqNullSafe(F.col("said"))
+    t = rows.groupBy("level", "class").agg(n(is_gold & is_said).alias("tp"), n(~is_gold).alias("fp"), n(~is_said).alias("fn"))
+    t = t.withColumn("f1", F.col("tp") * 2 / (F.col("tp") * 2 + F.col("fp") + F.col("fn")))
+    invented = F.col("gold") == "inventada"
+    of_level = t.groupBy("level").agg(F.avg("f1").alias("macro_f1"))
+    tau = pairs.groupBy("level").agg(F.when(n(invented) > 0, n(invented & (F.col("said") == "real")) / n(invented)).otherwise(0.0).alias("tau"))
+    return t.join(of_level, "level").join(tau, "level")
+
+
+def span_scores(gold: DataFrame, predicted: DataFrame, least_score: float = 0.0, least: float = fixed.IOU) -> DataFrame:
+    """(tp, fp, fn, precision, recall, f1) of a tagger's spans: (document_id, p, start, end, score) against (document_id, g, start, end).
+
+    Spans are matched one to one, the surest first, each to the free gold span it covers best (ties to the larger index).
+    """
+    from .arbitrate import first_come
+
+    said = predicted.where(F.col("score") >= least_score)
+    pairs = overlapping(gold, said, least).join(said.select("document_id", "p", "score"), ["document_id", "p"])
+    order = F.struct((-F.col("score")).alias("minus"), "p", (-F.col("iou")).alias("far"), (-F.col("g")).alias("late"), "g")
+    rows = pairs.groupBy("document_id").agg(F.array_sort(F.collect_list(order)).alias("rows"))
+    matched = rows.select(F.explode(first_come(F.col("rows"), lambda x, y: (x["p"] == y["p"]) | (x["g"] == y["g"]))).alias("m"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    n = count(matched, "tp").join(count(said, "said"), how="cross").join(count(gold, "gold"), how="cross")  # three single rows
+    n = n.select("tp", (F.col("said") - F.col("tp")).alias("fp"), (F.col("gold") - F.col("tp")).alias("fn"))
+    p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
+    return n.select("*", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+
+def counts_by_variant(variants: dict[str, DataFrame]) -> DataFrame:
+    """(variant, a column for each verdict, total) of submissions."""
+    rows = None
+    for name, sub in variants.items():
+        one = sub.where("citacoes <> '-'").select(F.lit(name).alias("variant"), F.explode(F.split("citacoes", r"\|")).alias("c"))
+        rows = one if rows is None else rows.unionByName(one)
+    said = rows.select("variant", F.element_at(F.split("c", ","), 3).alias("verdict")).groupBy("variant").pivot("verdict", list(fixed.VERDICTS)).agg(F.count(F.lit(1)))
+    return said.fillna(0).withColumn("total", sum((F.col(v) for v in fixed.VERDICTS), F.lit(0)))

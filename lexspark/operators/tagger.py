@@ -88,12 +88,12 @@ def classify_spans(docs: DataFrame, spans: DataFrame, margin: int = fixed.FUSION
         names = [*SCHEMA.replace(",", "").split()[::2], "own_bare"]
         for b in batches:
             rows = []
-            for i, r in enumerate(b.itertuples(index=False)):
+            for r in b.itertuples(index=False):
                 alone, c = single(r.own), single(r.wide)
                 named = any(z - a >= fixed.VAGUE_SHARE * len(r.own.strip()) for a, z, _ in vague(r.own))
                 if not strict or alone.family != VAGUE or named:
                     bare = alone.number if alone.family == SUMULA and not alone.binding and alone.court is None else None
-                    rows.append((r.document_id, i, c.family, r.start, r.end, r.wide, c.kind, c.alias, c.article, c.number, c.court, c.binding, c.readings, c.uf, c.n_digits, c.noisy, c.class_words, r.start, r.end, r.own, bare))
+                    rows.append((r.document_id, r.start, c.family, r.start, r.end, r.wide, c.kind, c.alias, c.article, c.number, c.court, c.binding, c.readings, c.uf, c.n_digits, c.noisy, c.class_words, r.start, r.end, r.own, bare))
             yield pd.DataFrame(rows, columns=names)
 
     return s.mapInPandas(run, SCHEMA.replace(" end ", " `end` ") + ", own_bare string")
@@ -168,3 +168,81 @@ def train_calibration(rows: DataFrame, label: str = "ok", c: float = 1.0, max_it
         return [0.0] * (size["n"] if size else 0), 30.0 if x["n"] and x["ones"] else -30.0
     m = LogisticRegression(regParam=1 / (c * x["n"]), elasticNetParam=0.0, standardization=False, maxIter=max_iter).fit(t)
     return list(m.coefficients), float(m.intercept)
+
+
+def label(docs: DataFrame, make_labeller, size: int = 900, step: int = 700, batch: int = 8) -> DataFrame:
+    """Spans (document_id, start, end, label, score) that a tagger gives, in offsets of the raw text.
+
+    ``make_labeller()`` runs once a worker and returns a function from a list of texts to
+    a list of lists of (start, end, label, score).  It reads windows of normalised texts,
+    ``batch`` at a time; spans of overlapping windows are settled by suppression, best first.
+    """
+    from lexspark.functions import text as T
+
+    from .arbitrate import suppress
+
+    n = docs.select("document_id", T.normalised(F.col("raw")).alias("n"))
+    w = windows(n.select("document_id", F.col("n.proc").alias("raw")), size, step).select("document_id", "start", "text")
+
+    def run(batches):
+        import pandas as pd
+
+        labeller = make_labeller()
+        for b in batches:
+            rows = []
+            for k in range(0, len(b), batch):
+                part = b.iloc[k : k + batch]
+                for doc, at, found in zip(part["document_id"], part["start"], labeller(list(part["text"])), strict=True):
+                    rows += [(doc, at + s, at + e, name, float(score)) for s, e, name, score in found]
+            yield pd.DataFrame(rows, columns=["document_id", "start", "end", "label", "score"])
+
+    found = suppress(w.mapInPandas(run, "document_id string, start int, `end` int, label string, score double"))
+    s, e = T.raw_span(F.col("n"), F.col("start"), F.col("end"))
+    return found.join(n, "document_id").select("document_id", s.alias("start"), e.alias("end"), "label", "score")
+
+
+def fusion_report(fused: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What fusion would add: (document_id, start, end, verdict, surface), and (added, rules, percent)."""
+    tagged = F.col("evidence").startswith("ner:")
+    added = fused.where(tagged).select("document_id", "start", "end", "verdict", "surface")
+    n = fused.agg(F.count_if(tagged).alias("added"), F.count_if(~tagged).alias("rules"))
+    return added, n.withColumn("percent", F.col("added") * 100 / F.greatest(F.col("rules"), F.lit(1)))
+
+
+def degradation(docs: DataFrame, citations: DataFrame, gold: DataFrame, index: Index, dropped=fixed.DROPPED, spurious=fixed.SPURIOUS, recall: float = 0.90, seed: int = 11) -> DataFrame:
+    """(dropped, spurious, rules, fused): the share of gold citations found with the right verdict, with and without a simulated tagger.
+
+    For each point of the grid a share of the rules' citations is dropped and a tagger
+    that reads the truth with some noise is merged in.  All points run in one plan: a
+    point is part of the document's id.
+    """
+    grid = docs.sparkSession.createDataFrame([(f"{i}/{j}", float(d), float(s)) for i, d in enumerate(dropped) for j, s in enumerate(spurious)], "point string, dropped double, spurious double")
+    at = lambda df: df.join(grid, how="cross").withColumn("document_id", F.concat("point", F.lit(":"), "document_id"))  # noqa: E731, the grid has a row a point
+    h = lambda what, *key: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), *key), F.lit(1 << 30)) / (1 << 30)
+    left = at(citations).where(h("drop", "document_id", "start") >= F.col("dropped"))
+    place = ["document_id", "start"]
+    g = at(gold.join(docs.select("document_id", F.length("raw").alias("n")), "document_id"))
+    shift = lambda what, low, width: F.floor(h(what, *place) * width).cast("int") + low
+    seen = g.where(h("recall", *place) <= recall).select("document_id", F.greatest(F.lit(0), F.col("start") + shift("start", -3, 6)).alias("start"), F.least(F.col("n"), F.col("end") + shift("end", -2, 6)).alias("end"), F.lit("JUR").alias("label"), (0.88 + h("score", *place) * 0.119).alias("score"))
+    random = F.floor(h("where", *place) * F.greatest(F.lit(1), F.col("n") - 40)).cast("int")
+    false = g.where(h("false", *place) < F.col("spurious")).select("document_id", random.alias("start"), (random + 8 + F.floor(h("long", *place) * 28).cast("int")).alias("end"), F.lit("JUR").alias("label"), (0.85 + h("sure", *place) * 0.12).alias("score"))
+    base = left.select(citations.columns)
+    fused = merge(at(docs.select("document_id", "raw")).select("document_id", "raw"), base, seen.unionByName(false), index)
+    truth = g.select("document_id", "point", "g", "start", "end", "verdict")
+
+    def right(c: DataFrame, name: str) -> DataFrame:
+        from .evaluate import greedy_match
+
+        p = c.withColumn("p", F.col("start")).select("document_id", "p", "start", "end", F.col("verdict").alias("said"))
+        m = greedy_match(truth.select("document_id", "g", "start", "end"), p).select("document_id", "g", "p").join(p.select("document_id", "p", "said"), ["document_id", "p"])
+        met = truth.select("document_id", "point", "g", "verdict").join(m, ["document_id", "g"], "left")
+        return met.groupBy("point").agg(F.avg(F.coalesce((F.col("said") == F.col("verdict")).cast("int"), F.lit(0))).alias(name))
+
+    return grid.join(right(base, "rules"), "point").join(right(fused, "fused"), "point").drop("point")
+
+
+def calibration_report(rows: DataFrame, label: str = "ok") -> DataFrame:
+    """(n, hit_rate, brier_before, brier_after, bonus_before, bonus_after): confidence as it was, and the score of a fitted model."""
+    brier = lambda c: F.avg(F.pow(F.col(c) - F.col(label), 2))
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("hit_rate"), brier("confidence").alias("brier_before"), brier("score").alias("brier_after"))
+    return r.select("*", ((1 - F.col("brier_before")) * 0.1).alias("bonus_before"), ((1 - F.col("brier_after")) * 0.1).alias("bonus_after"))

@@ -43,9 +43,12 @@ def test_end_to_end(spark, registry, tmp_path):
     assert all(raw[r.document_id][r.start : r.end] == r.surface for r in c.collect())
     assert evaluate.violations(docs, c).count() == 0
     s = V.submission(docs, c)
-    assert {r.documento_id: r.citacoes for r in s.collect()}["d3"] == "-"
+    files.write_submission(s, str(tmp_path / "submission"))
+    back = spark.read.csv(str(tmp_path / "submission"), header=True, quote='"', escape='"')
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, s.collect())) and {r.documento_id: r.citacoes for r in s.collect()}["d3"] == "-"
     assert {r.verdict: r.n for r in V.submission_counts(s).collect()} == {"real": 6, "inventada": 4}
     files.write_contract_files(V.contract(docs, c), str(tmp_path / "json"))
+    assert sorted(p.name for p in (tmp_path / "json").iterdir() if not p.name.startswith(".")) == ["d1.json", "d2.json", "d3.json"]
     assert files.read_contract(spark, str(tmp_path / "json")).count() == 10
 
 
@@ -81,10 +84,20 @@ def test_gold_and_errors(spark, tmp_path):
 
 
 def test_templates(spark):
-    d = spark.createDataFrame([("a", "Segue o art. 5 da CF. Consta do REsp 123/SP hoje. Nada mais.")], "document_id string, raw string")
-    g = spark.createDataFrame([("a", "REsp 123/SP", "jurisprudencia", "real")], "document_id string, surface string, kind string, verdict string")
-    got = {(r.kind, r.template) for r in synth.templates(d, g).collect()}
-    assert got == {("neutral", "Segue o art. 5 da CF."), ("jurisprudencia|real", "Consta do {CIT} hoje."), ("neutral", "Nada mais.")}
+    raw = "CABEÇALHO\nProcesso nº 1\n\nI — RELATÓRIO\n\nSegue o voto do Min. Fulano sobre a matéria que se discute aqui. Consta do R. Esp. 123. 456/SP hoje, é certo. Cita-se um caso e outro.\n\nNestes termos, pede deferimento."
+    span = lambda x: (raw.index(x), raw.index(x) + len(x))
+    d = spark.createDataFrame([("a", raw, 1), ("b", "Sem nada.", 2)], "document_id string, raw string, level int")
+    g = spark.createDataFrame([("a", *span("R. Esp. 123. 456/SP"), "jurisprudencia", "real"), ("a", *span("um caso"), "lei", "real"), ("a", *span("outro"), "lei", "real")], "document_id string, start int, end int, kind string, verdict string")
+    sentences = [r.text for r in synth.whole_sentences(d, g).where("document_id = 'a'").orderBy("sentence").collect()]
+    assert "".join(sentences) == raw and "Consta do R. Esp. 123. 456/SP hoje, é certo. " in sentences
+    got = {(r.list, r.text) for r in synth.templates(d, g).collect()}
+    assert got == {
+        ("header", "CABEÇALHO\nProcesso nº 1\n\nI — RELATÓRIO\n\n"), ("header", "Sem nada.\n\n"), ("section", "I — RELATÓRIO"), ("closing", "Nestes termos, pede deferimento."),
+        ("jurisprudencia|real", "Consta do {CIT} hoje, é certo. "), ("neutral", "CABEÇALHO Processo nº 1 I — RELATÓRIO Segue o voto do Min. Fulano sobre a matéria que se discute aqui."),
+        ("filler", "CABEÇALHO Processo nº 1 I — RELATÓRIO Segue o voto do Min. Fulano sobre a matéria que se discute aqui."),
+    }
+    lists = synth.template_lists(synth.templates(d, g))
+    assert lists["sections"] == ["I — RELATÓRIO"] and lists["carriers"] == {"jurisprudencia|real": ["Consta do {CIT} hoje, é certo. "]}
 
 
 def test_stream(spark, registry, tmp_path):
