@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from lexspark import fixed
 from lexspark.functions import text as T
-from lexspark.operators import evaluate, synth, tagger
+from lexspark.operators import evaluate, generate, synth, tagger
 from lexspark.operators.arbitrate import first_come, suppress
 from lexspark.operators.detect import find_candidates
 from lexspark.operators.index import build, case_keys, summary
 from lexspark.plans.verify import contract, submission, submission_counts, verify
+from lexspark.shared import new_folder, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -167,7 +168,7 @@ def suppressed_numbers(spark, sf_dir):
 
 _LAWS = ("Código de Processo Civil", "CDC", "Constituição Federal", "Lei nº 8.245/1991", "Código Pena1", "Consolidação da5 Leis do Trabalho")
 _LAW_HEADS = ("da Lei nº 13.105, de 16 de março de 2015", "da Lei nº 8.078, de 11 de setembro de 1990", "da Constituição Federal", "da Lei nº 8.245, de 18 de outubro de 1991", "do Decreto-Lei nº 2.848, de 7 de dezembro de 1940", "do Decreto-Lei nº 5.452, de 1º de maio de 1943")
-_PART = "SELECT p_partkey, (p_partkey % 6)::INT AS law, p_partkey // 6 + 1 AS article FROM part WHERE p_partkey < 6000"
+_PART = f"SELECT p_partkey, (p_partkey % 6)::INT AS law, CASE WHEN p_partkey // 6 + 1 > 9999 THEN {_DOTTED % '(p_partkey // 6 + 1)'} ELSE (p_partkey // 6 + 1)::VARCHAR END AS article FROM part"
 
 
 def _articles(spark, sf_dir):
@@ -212,7 +213,7 @@ def _sumulas(spark, sf_dir):
     return s, r
 
 
-@_query("SELECT s_suppkey::VARCHAR AS document_id, CASE WHEN s_suppkey % 3 <> 0 THEN 'real' ELSE 'inventada' END AS verdict, CASE WHEN s_suppkey % 3 <> 0 THEN (s_suppkey + 6000000000)::VARCHAR END AS canonical_id FROM supplier WHERE s_suppkey < 2000")
+@_query("SELECT s_suppkey::VARCHAR AS document_id, CASE WHEN s_suppkey % 3 <> 0 THEN 'real' ELSE 'inventada' END AS verdict, CASE WHEN s_suppkey % 3 <> 0 THEN (s_suppkey + 6000000000)::VARCHAR END AS canonical_id FROM supplier")
 def sumula_verdicts(spark, sf_dir):
     s, r = _sumulas(spark, sf_dir)
     mould = F.when(F.col("s_suppkey") % 2 == 0, "a Súmula ").otherwise("a 5úrnula nº ")
@@ -220,9 +221,9 @@ def sumula_verdicts(spark, sf_dir):
     return verify(d, build(r)).select("document_id", "verdict", "canonical_id")
 
 
-@_query("""WITH r AS (SELECT s_suppkey // 5 + 1 AS number, count(*) AS n, min(s_suppkey) AS one FROM supplier WHERE s_suppkey < 2000 AND s_suppkey % 3 <> 0 GROUP BY 1)
+@_query("""WITH r AS (SELECT s_suppkey // 5 + 1 AS number, count(*) AS n, min(s_suppkey) AS one FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY 1)
 SELECT s_suppkey::VARCHAR AS document_id, CASE WHEN n = 1 THEN 'real' WHEN n > 1 THEN 'incompleta' ELSE 'inventada' END AS verdict, CASE WHEN n = 1 THEN (one + 6000000000)::VARCHAR END AS canonical_id
-FROM supplier LEFT JOIN r ON number = s_suppkey // 5 + 1 WHERE s_suppkey < 2000""")
+FROM supplier LEFT JOIN r ON number = s_suppkey // 5 + 1""")
 def sumula_bare_ambiguous(spark, sf_dir):
     """Without a court, a number that several courts have is incomplete."""
     s, r = _sumulas(spark, sf_dir)
@@ -469,25 +470,12 @@ def logistic_scores(spark, sf_dir):
     return tagger.logistic_scores(o, [1.5, -0.02], 0.25).select("o_orderkey", F.round("score", 9).alias("score"))
 
 
-@_query("""WITH s AS (SELECT item_id, trim(regexp_replace(lower(strip_accents(left(text, 60))), '[^a-z0-9]+', ' ', 'g')) AS s FROM benchmark)
-SELECT a.item_id, b.item_id AS other FROM s a JOIN s b ON abs(length(a.s) - length(b.s)) <= 20 AND levenshtein(a.s, b.s)::DOUBLE / length(b.s) <= 0.16""")
-def near_sentences(spark, sf_dir):
-    """The fuzzy join behind neutral sentences, over the benchmark's openings; lengths within a third meet."""
-    s = _t(spark, sf_dir, "benchmark").select("item_id", T.phrase(F.substring("text", 1, 60)).alias("s"))
-    lengths = s.withColumn("len", F.explode(F.sequence(F.length("s") - 20, F.length("s") + 20)))
-    other = s.select(F.col("item_id").alias("other"), F.col("s").alias("t"), F.length("s").alias("len"))
-    return lengths.join(other, "len").where(T.distance(F.col("s"), F.col("t")) <= 0.16).select("item_id", "other")
-
-
 @_query("""WITH s AS (SELECT item_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS s FROM benchmark)
 SELECT a.item_id, b.item_id AS other FROM s a JOIN s b ON length(b.s) > 0 AND levenshtein(a.s, b.s)::DOUBLE / length(b.s) <= 0.16""")
-def near_texts(spark, sf_dir):
-    """The join of near_sentences over whole benchmark texts; lengths by buckets of a fifth, of which neighbours meet."""
-    s = _t(spark, sf_dir, "benchmark").select("item_id", T.phrase(F.col("text")).alias("s")).where("s <> ''")
-    bucket = F.floor(F.log(F.length("s").cast("double")) / F.log(F.lit(1.2)))
-    near = s.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    other = s.select(F.col("item_id").alias("other"), F.col("s").alias("t"), bucket.alias("bucket"))
-    return near.join(other, "bucket").where(T.distance(F.col("s"), F.col("t")) <= 0.16).select("item_id", "other")
+def near_sentences(spark, sf_dir):
+    """The fuzzy join behind neutral sentences, over whole benchmark texts."""
+    s = _t(spark, sf_dir, "benchmark").select("item_id", T.phrase(F.col("text")).alias("s"))
+    return synth.near_texts(s, "item_id", "s", fixed.NEUTRAL_TOLERANCE).select("item_id", "other")
 
 
 @_query()
@@ -509,3 +497,180 @@ def tagger_fusion(spark, sf_dir):
     d, index, c = _verified_with(spark, sf_dir)
     half = c.where(F.pmod(F.xxhash64("document_id"), F.lit(2)) == 0)
     return tagger.merge(d, half, tagger.simulate(c), index).select(*_CASE_COLS)
+
+
+@_query("""SELECT o_orderkey::VARCHAR AS document_id, 11 AS "start", (11 + length(surface))::INT AS "end", surface, CASE WHEN o_orderstatus <> 'O' THEN 'real' ELSE 'inventada' END AS verdict,
+CASE WHEN o_orderstatus <> 'O' THEN (o_orderkey + 7000000000)::VARCHAR END AS canonical_id FROM (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN 'REsp nº' || chr(160) || d || '/' || uf WHEN 1 THEN 'REsp' || chr(160) || 'nº ' || d || '/' || uf
+WHEN 2 THEN 'REsp nº ' || replace(d, '.', '.' || chr(160)) || '/' || uf ELSE 'REsp nº ' || d || chr(160) || '(' || uf || ')' END AS surface FROM (""" + _ORDERS + "))")
+def nbsp_citations(spark, sf_dir):
+    """No-break spaces before the mark, before the number, inside of it, and after it; one that follows the citation isn't part of it."""
+    o, nb, k = _orders(spark, sf_dir), F.lit("\u00a0"), F.col("o_orderkey") % 4
+    said = F.when(k == 0, F.concat(F.lit("REsp nº"), nb, "d", F.lit("/"), "uf")).when(k == 1, F.concat(F.lit("REsp"), nb, F.lit("nº "), "d", F.lit("/"), "uf"))
+    said = said.when(k == 2, F.concat(F.lit("REsp nº "), F.replace("d", F.lit("."), F.concat(F.lit("."), nb)), F.lit("/"), "uf")).otherwise(F.concat(F.lit("REsp nº "), "d", nb, F.lit("("), "uf", F.lit(")")))
+    return verify(_docs(o, F.concat(F.lit("Conforme o "), said, nb, F.lit(", nega-se."))), build(_registry(o.where("o_orderstatus <> 'O'"), _heading()))).select("document_id", "start", "end", "surface", "verdict", "canonical_id")
+
+
+@_query("SELECT o_orderkey::VARCHAR AS document_id, 'REsp nº ' || d || '/' || uf AS surface FROM (" + _ORDERS + ") WHERE o_orderkey % 5 <> 4")
+def docket_lines(spark, sf_dir):
+    """Lines that label the document's own docket, misread or not, and labelled lines of its header hold no citations; the body does."""
+    o, k = _orders(spark, sf_dir), F.col("o_orderkey") % 5
+    label = F.when(k == 0, "Processo nº 7654321-00.2020").when(k == 1, "Auto5 nº 4837911-57").when(k == 2, "Rcferência: REsp 123456").when(k == 3, "Nome da parte: REsp 765432").otherwise("Assunto: recurso no REsp 987654")
+    body = F.when(k == 4, "Nada mais.").otherwise(F.concat(F.lit("Vide o REsp nº "), "d", F.lit("/"), "uf", F.lit(".")))
+    return find_candidates(_docs(o, F.concat(label, F.lit("\n\nI — RELATÓRIO\n\n"), body))).select("document_id", "surface")
+
+
+@_query("""SELECT p_partkey::VARCHAR AS document_id, 'art. ' || p_size || ' do Código Civil' || CASE p_partkey % 3 WHEN 1 THEN ' de 2002' ELSE '' END AS surface, 'real' AS verdict FROM part WHERE p_partkey % 3 <> 0""")
+def year_guard(spark, sf_dir):
+    """A statute's name with another statute's year is no citation of it."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("article"))
+    k = F.col("p_partkey") % 3
+    d = p.select(F.col("p_partkey").cast("string").alias("document_id"), F.concat(F.lit("Nos termos do art. "), "article", F.lit(" do Código Civil"), F.when(k == 0, " de 1916.").when(k == 1, " de 2002.").otherwise(", nega-se.")).alias("raw"))
+    r = p.select("article").distinct().select((F.col("article").cast("long") + 9000000000).alias("id"), F.lit(None).cast("string").alias("court"), F.lit("dispositivo").alias("nature"), F.concat(F.lit("Artigo "), "article", F.lit(" da Lei nº 10.406, de 10 de janeiro de 2002\n")).alias("text"))
+    return verify(d, build(r)).select("document_id", "surface", "verdict")
+
+
+@_query(_case_sql("'REsp nº ' || d || '/' || uf"))
+def streaming_verdicts(spark, sf_dir):
+    """case_verdicts over a stream of document files."""
+    from lexspark.streaming.verify import verify_stream
+
+    o = _orders(spark, sf_dir)
+    _docs(o, _cited("Conforme o REsp nº ")).write.parquet(f"{(root := new_folder(spark))}/in")
+    index = build(written(_registry(o.where("o_orderstatus <> 'O'"), _heading())))
+    verify_stream(spark, f"{root}/in", index, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(*_CASE_COLS)
+
+
+_FULL_CLASSES = {"STJ": "Agravo Interno no Recurso em Mandado de Segurança", "STF": "Recurso Extraordinário com Agravo", "TSE": "Agravo Regimental no Recurso Especial Eleitoral", "TST": "Recurso de Revista com Agravo", "STM": "Recurso em Sentido Estrito"}
+_SHORT_CLASSES = {"STJ": "AgInt no RMS", "STF": "ARE", "TSE": "AgR no REspe", "TST": "ARR", "STM": "RSE"}
+_MISREAD_CLASSES = {"STJ": "Agrav0 Interno no Recurso ern Mandado de Segurança", "STF": "Recurs0 Extraordinário corn Agravo", "TSE": "Agrav0 Regirnental no Recurso Especial Eleitoral", "TST": "Recurs0 de Revista corn Agravo", "STM": "Recurs0 ern Sentido Estrito"}
+_pick_sql = lambda column, table: "CASE " + column + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+_COURT_SQL = "list_value(" + ", ".join(f"'{c}'" for c in fixed.COURTS) + ")[(o_orderkey % 5 + 1)::INT]"
+
+
+@_query(f"""WITH o AS (SELECT *, {_COURT_SQL} AS court FROM ({_ORDERS})),
+f AS (SELECT *, 'full' AS form, {_pick_sql('court', _FULL_CLASSES)} AS cls FROM o UNION ALL SELECT *, 'short', {_pick_sql('court', _SHORT_CLASSES)} FROM o UNION ALL SELECT *, 'misread', {_pick_sql('court', _MISREAD_CLASSES)} FROM o)
+SELECT o_orderkey::VARCHAR || '/' || form AS document_id, form, cls || ' nº ' || d || '/' || uf AS surface, CASE WHEN o_orderstatus <> 'O' THEN 'real' ELSE 'inventada' END AS verdict, CASE WHEN o_orderstatus <> 'O' THEN (o_orderkey + 7000000000)::VARCHAR END AS canonical_id FROM f""")
+def coverage_forms(spark, sf_dir):
+    """Each case in full, abbreviated as its court does, and misread: whatever the form, its record is found; cases not in the registry are invented."""
+    o = _orders(spark, sf_dir).withColumn("court", F.element_at(F.array(*map(F.lit, fixed.COURTS)), (F.col("o_orderkey") % 5 + 1).cast("int")))
+    full = F.create_map(*(F.lit(x) for kv in _FULL_CLASSES.items() for x in kv))[F.col("court")]
+    forms = generate.case_forms(o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("d").alias("number"), "uf", "court", full.alias("full")))
+    forms = forms.select(F.concat("id", F.lit("/"), "form").alias("document_id"), "form", "surface")
+    before = "Nesse sentido, "
+    c = verify(forms.select("document_id", F.concat(F.lit(before), "surface", F.lit(", nega-se.")).alias("raw")), build(_registry(o.where("o_orderstatus <> 'O'"), _heading())))
+    return generate.found_forms(c, forms, before)
+
+
+_NORMS = (("CPC", "do CPC", "do Código de Processo Civil", "da Lei nº 13.105, de 16 de março de 2015"), ("CLT", "da CLT", "da Consolidação das Leis do Trabalho", "do Decreto-Lei nº 5.452, de 1º de maio de 1943"),
+          ("CF", "da CF/88", "da Constituição Federal", "da Constituição Federal"), ("LC 64/1990", "da LC nº 64/90", "da Lei Complementar nº 64/1990", "da Lei Complementar nº 64, de 18 de maio de 1990"))
+_NORM_MISREAD = ("do Código de Pr0cesso Civil", "da C0nsolidação da5 Leis do Trabalho", "da C0nstituição Federal", "da Lei C0rnplernentar nº 64/1990")
+
+
+def _norm_sql():
+    forms = {
+        "short": "'art. ' || a || ' ' || short", "short+clause": "'art. ' || a || ', I, ' || short", "full": "'artigo ' || a || ' ' || full_", "full+clause": "'artigo ' || a || ', inciso I, ' || full_",
+        "paragraph": "'art. ' || a || ', § 1º, ' || full_", "line break": "'art.' || chr(10) || a || ' ' || full_", "misread l": "'arl. ' || a || ' ' || bad", "misread o": "'artigõ ' || a || ' ' || bad",
+    }
+    pick = lambda xs: "list_value(" + ", ".join(f"'{x}'" for x in xs) + ")[(p_partkey % 4 + 1)::INT]"
+    base = f"SELECT p_partkey, ((p_partkey // 4) % 900 + 1)::VARCHAR AS a, {pick([n[1] for n in _NORMS])} AS short, {pick([n[2] for n in _NORMS])} AS full_, {pick(_NORM_MISREAD)} AS bad FROM part"
+    rows = " UNION ALL ".join(f"SELECT p_partkey, a, '{k}' AS form, {v} AS surface FROM b" for k, v in forms.items())
+    return f"""WITH b AS ({base}), f AS ({rows}) SELECT p_partkey::VARCHAR || '/' || form AS document_id, form, surface, CASE WHEN a::INT % 5 = 0 THEN 'inventada' ELSE 'real' END AS verdict,
+CASE WHEN a::INT % 5 <> 0 THEN (9000000000 + (p_partkey % 4) * 1000 + a::INT)::VARCHAR END AS canonical_id FROM f"""
+
+
+@_query(_norm_sql())
+def norm_forms(spark, sf_dir):
+    """Each article by short and full names, with clauses and paragraphs, over a line break and misread; every fifth isn't in the registry."""
+    k, a = (F.col("p_partkey") % 4).cast("int"), F.expr("p_partkey div 4 % 900 + 1").cast("string")
+    pick = lambda i: F.element_at(F.array(*(F.lit(n[i]) for n in _NORMS)), k + 1)
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), a.alias("article"), pick(1).alias("short"), pick(2).alias("full"), pick(3).alias("head"), k.alias("law"))
+    devices = p.select("article", "head", "law").distinct().where("article % 5 <> 0")
+    r = devices.select((F.lit(9000000000) + F.col("law") * 1000 + F.col("article").cast("int")).alias("id"), F.lit(None).cast("string").alias("court"), F.lit("dispositivo").alias("nature"), F.concat(F.lit("Artigo "), "article", F.lit(" "), "head", F.lit("\nTexto")).alias("text"))
+    forms = generate.statute_forms(p).select(F.concat("id", F.lit("/"), "form").alias("document_id"), "form", "surface")
+    before = "Cumpre observar o disposto no "
+    c = verify(forms.select("document_id", F.concat(F.lit(before), "surface", F.lit(", de aplicação cogente ao caso.")).alias("raw")), build(r))
+    return generate.found_forms(c, forms, before)
+
+
+_OUTSIDE = ("art. 5º da Constituição Estadual", "art. 5º da Constituição do Estado de São Paulo", "art. 312 do Código de Processo Penal Militar", "art. 186 do Código Civil de 1916", "art. 373 da Lei nº 13.106/2015", "art. 14 da Lei nº 8.079/1990", "art. 1º da Lei Complementar nº 65/1990", "art. 93 da CF/89")
+
+
+@_query("SELECT 0::BIGINT AS real, count(*) AS documents FROM part")
+def outside_statutes(spark, sf_dir):
+    """Statutes outside of the registry whose names start like ones in it: none is real."""
+    p = _t(spark, sf_dir, "part")
+    said = F.element_at(F.array(*map(F.lit, _OUTSIDE)), (F.col("p_partkey") % len(_OUTSIDE) + 1).cast("int"))
+    d = p.select(F.col("p_partkey").cast("string").alias("document_id"), F.concat(F.lit("Nos termos do "), said, F.lit(", nega-se.")).alias("raw"))
+    heads = ("Artigo 5 da Constituição Federal", "Artigo 312 do Decreto-Lei nº 3.689, de 3 de outubro de 1941", "Artigo 186 da Lei nº 10.406, de 10 de janeiro de 2002", "Artigo 373 da Lei nº 13.105, de 16 de março de 2015", "Artigo 14 da Lei nº 8.078, de 11 de setembro de 1990", "Artigo 1 da Lei Complementar nº 64, de 18 de maio de 1990", "Artigo 93 da Constituição Federal")
+    r = spark.createDataFrame([(str(i), None, "dispositivo", h) for i, h in enumerate(heads)], "id string, court string, nature string, text string")
+    real = verify(d, build(r)).where("verdict = 'real'").agg(F.count(F.lit(1)).alias("real"))
+    return real.join(d.agg(F.count(F.lit(1)).alias("documents")), how="cross")  # two single rows
+
+
+@_query("""SELECT s_suppkey::VARCHAR || '/' || form AS document_id, form, replace(replace(mould, '{n}', (s_suppkey // 5 + 1)::VARCHAR), '{t}', t) AS surface, 'real' AS verdict, (s_suppkey + 6000000000)::VARCHAR AS canonical_id
+FROM (SELECT s_suppkey, list_value('STF', 'STJ', 'STM', 'TSE', 'TST')[(s_suppkey % 5 + 1)::INT] AS t FROM supplier),
+(VALUES ('plain', 'Súmula {n} do {t}'), ('with mark', 'Súmula nº {n} do {t}'), ('short', 'Súm. {n} do {t}'), ('capitals', 'SÚMULA {n} DO {t}'), ('misread', '5úrnula {n} do {t}')) f(form, mould)""")
+def sumula_forms(spark, sf_dir):
+    """Súmulas with their court in every form but the slash, which the grammar reads without its court."""
+    s, _ = _sumulas(spark, sf_dir)
+    r = s.select((F.col("s_suppkey") + 6000000000).alias("id"), F.col("court"), F.lit("sumula").alias("nature"), F.concat(F.lit("Súmula n. "), F.col("number").cast("string"), F.lit(" do "), "court", F.lit(" Texto")).alias("text"))
+    forms = generate.sumula_forms(s.select(F.col("s_suppkey").cast("string").alias("id"), "number", "court")).where("form <> 'slash'").select(F.concat("id", F.lit("/"), "form").alias("document_id"), "form", "surface")
+    before = "Aplica-se a "
+    c = verify(forms.select("document_id", F.concat(F.lit(before), "surface", F.lit(", sem reservas.")).alias("raw")), build(r))
+    return generate.found_forms(c, forms, before)
+
+
+@_query("SELECT o_orderkey, true AS kept, true AS read FROM (" + _ORDERS + ")")
+def identifier_noise(spark, sf_dir):
+    """Noise inside of citations keeps their digits in order, and the record is found all the same."""
+    o = _orders(spark, sf_dir)
+    clean = F.concat(F.lit("REsp nº "), "d", F.lit("/"), "uf")
+    n = written(o.select("o_orderkey", "n", clean.alias("clean"), generate.identifier_noise(clean, "o_orderkey").alias("noisy")))
+    d = n.select(F.col("o_orderkey").cast("string").alias("document_id"), F.concat(F.lit("Conforme o "), "noisy", F.lit(" nega-se.")).alias("raw"))
+    c = verify(d, build(_registry(o, _heading()))).where("verdict = 'real'").select(F.col("document_id").cast("long").alias("o_orderkey"), F.col("canonical_id"))
+    read = F.coalesce(F.col("canonical_id") == (F.col("o_orderkey") + 7000000000).cast("string"), F.lit(False))
+    return n.join(c, "o_orderkey", "left").select("o_orderkey", T.keeps_identity(F.col("noisy"), F.col("clean")).alias("kept"), read.alias("read"))
+
+
+@_query("""WITH s AS (SELECT user_id, event_id, (event_id * 7 % 400)::INT AS a, (event_id * 7 % 400 + 5 + event_id % 23)::INT AS b, value FROM events),
+i AS (SELECT g.user_id, g.event_id AS g, p.event_id AS p, p.value, (least(g.b, p.b) - greatest(g.a, p.a))::DOUBLE / (greatest(g.b, p.b) - least(g.a, p.a)) AS iou FROM s g JOIN s p USING (user_id) WHERE g.event_id % 2 = 0 AND p.event_id % 2 = 1 AND g.a < p.b AND p.a < g.b),
+c AS (SELECT user_id, g, p, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, p, iou DESC, g DESC) AS k FROM i WHERE iou >= 0.5)""".replace("WITH s", "WITH RECURSIVE s") + """,
+f AS (SELECT user_id, k, [struct_pack(g := g, p := p)] AS kept FROM c WHERE k = 1
+  UNION ALL SELECT f.user_id, c.k, CASE WHEN len(list_filter(kept, lambda x: x.g = c.g OR x.p = c.p)) > 0 THEN kept ELSE list_append(kept, struct_pack(g := c.g, p := c.p)) END FROM f JOIN c ON c.user_id = f.user_id AND c.k = f.k + 1),
+n AS (SELECT sum(len(kept))::BIGINT AS tp FROM (SELECT user_id, arg_max(kept, k) AS kept FROM f GROUP BY user_id))
+SELECT tp, (SELECT count(*) FROM s WHERE event_id % 2 = 1) - tp AS fp, (SELECT count(*) FROM s WHERE event_id % 2 = 0) - tp AS fn FROM n""")
+def span_scores(spark, sf_dir):
+    """Spans matched by score, as the tagger's training does."""
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), "event_id", (F.col("event_id") * 7 % 400).cast("int").alias("start"), (F.col("event_id") * 7 % 400 + 5 + F.col("event_id") % 23).cast("int").alias("end"), "value")
+    gold = e.where("event_id % 2 = 0").select("document_id", F.col("event_id").alias("g"), "start", "end")
+    said = e.where("event_id % 2 = 1").select("document_id", F.col("event_id").alias("p"), "start", "end", F.col("value").alias("score"))
+    return evaluate.span_scores(gold, said, float("-inf")).select("tp", "fp", "fn")
+
+
+@_query(f"""SELECT o_orderkey::VARCHAR AS document_id, 'c' || k AS citation_id, surface, verdict, canonical_id, evidence FROM (
+  SELECT o_orderkey, 1 AS k, 'REsp nº ' || d || '/' || uf AS surface, CASE WHEN o_orderstatus <> 'O' THEN 'real' ELSE 'inventada' END AS verdict, CASE WHEN o_orderstatus <> 'O' THEN (o_orderkey + 7000000000)::VARCHAR END AS canonical_id, 'num_uf' AS evidence FROM ({_ORDERS})
+  UNION ALL SELECT o_orderkey, 2, 'feito ' || d, CASE WHEN o_orderstatus <> 'O' THEN 'real' ELSE 'inventada' END, CASE WHEN o_orderstatus <> 'O' THEN (o_orderkey + 7000000000)::VARCHAR END, 'ner:num' FROM ({_ORDERS}))""")
+def fused_citations(spark, sf_dir):
+    """The rules find the first citation; a tagger gives the second, which no class heads, a span that names nothing and overlaps it, and one that touches the first."""
+    o = _orders(spark, sf_dir)
+    first = F.concat(F.lit("REsp nº "), "d", F.lit("/"), "uf")
+    d = _docs(o, F.concat(F.lit("Conforme o "), first, F.lit(" e o que ali se disse quanto ao feito "), "d", F.lit(" do acervo.")))
+    index = build(_registry(o.where("o_orderstatus <> 'O'"), _heading()))
+    at = F.length(F.concat(F.lit("Conforme o "), first, F.lit(" e o que ali se disse quanto ao ")))
+    end = at + F.length(F.concat(F.lit("feito "), "d"))
+    span = lambda a, b, score: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit("JUR").alias("label"), F.lit(score).alias("score"))
+    given = F.array(span(at - 16, at + 3, 0.99), span(at, end, 0.95), span(F.lit(13), F.lit(25), 0.99), span(end + 2, end + 9, 0.5))
+    tagged = o.select(F.col("o_orderkey").cast("string").alias("document_id"), F.explode(given).alias("s")).select("document_id", "s.*")
+    return tagger.merge(d, verify(d, index), tagged, index).select("document_id", "citation_id", "surface", "verdict", "canonical_id", "evidence")
+
+
+@_query("SELECT doc_id, length(text)::INT AS n, 0 AS \"start\", length(text)::INT AS \"end\" FROM documents WHERE length(text) > 0")
+def newline_nfc_lengths(spark, sf_dir):
+    """Texts with their accents taken apart and their line ends doubled are normalised to their own lengths, and spans map back."""
+    raw = F.replace("text", F.lit("\n"), F.lit("\r\n"))
+    for whole, parts in (("é", "e\u0301"), ("ã", "a\u0303"), ("ç", "c\u0327"), ("ü", "u\u0308"), ("ó", "o\u0301")):
+        raw = F.replace(raw, F.lit(whole), F.lit(parts))
+    d = _t(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", raw.alias("raw"), T.normalised(raw).alias("x"))
+    start, end = T.raw_span(F.col("x"), F.lit(0), F.length("x.proc"))
+    return d.select("doc_id", F.length("x.proc").alias("n"), start.alias("start"), F.when(end == F.length("raw"), F.length("x.proc")).otherwise(-1).alias("end"))

@@ -10,7 +10,6 @@ from lexspark import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-FAST = [k for k in catalog.ORACLES if k not in ("topic_always_invented",)]
 
 
 def rows(df):
@@ -19,7 +18,7 @@ def rows(df):
     return cols, sorted(repr([plain(v) for v in r]) for r in df[cols].astype(object).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", catalog.ORACLES)
 def test_query(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):

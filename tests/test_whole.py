@@ -28,7 +28,7 @@ def test_statute_verdicts_of_all_parts(spark, keys):
 def test_sumulas_of_all_suppliers(spark, keys, name):
     import duckdb
 
-    sql = catalog.ORACLES[name].replace("WHERE s_suppkey < 2000 AND", "WHERE").replace("WHERE s_suppkey < 2000", "")
+    sql = catalog.ORACLES[name]
     con = duckdb.connect()
     con.execute(f"create view supplier as select * from '{keys[0]}/supplier.parquet/*.parquet'")
     want = con.execute(sql).fetchall()
@@ -50,7 +50,7 @@ def test_near_texts_reads_past_the_opening(spark, tmp_path):
     opening = "a mesma abertura de sessenta letras em todos os textos da lista "
     texts = [opening + "b" * 200, opening + "c" * 200, "x" * 20 + opening[20:] + "b" * 200, "b" * 50]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    found = {(r.item_id, r.other) for r in catalog.QUERIES["near_texts"](spark, str(tmp_path)).collect()}
+    found = {(r.item_id, r.other) for r in catalog.QUERIES["near_sentences"](spark, str(tmp_path)).collect()}
     assert found == {(0, 0), (1, 1), (2, 2), (3, 3), (0, 2), (2, 0)}
 
 
@@ -77,13 +77,3 @@ def test_noise_has_all_confusions(spark):
     assert out["arno"].noisy == "ãmõ" and out["rrnrn"].noisy == "rmm" and out["arno"].edits == out["arno"].exact == 4
     assert out["123 xyz"].noisy.replace("  ", " ") == "123 xyz"
     assert 3 <= sum("  " in r.noisy for r in out.values()) <= 35 and all(r.noisy.count("  ") <= 1 for r in out.values())
-
-
-def test_one_row_of_each_group(spark):
-    import corpus_pipeline
-
-    long = " ".join(f"palavra{i}" for i in range(60))
-    rows = [(1, long), (1, long), (None, long + " fim"), (None, "um texto de todo diferente do resto da lista"), (None, ""), (2, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
-    assert sorted(out, key=repr) == sorted([rows[0], rows[3], rows[4], rows[5]], key=repr)
