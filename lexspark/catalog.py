@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lexspark import fixed
 from lexspark.functions import text as T
-from lexspark.operators import evaluate, generate, synth, tagger
+from lexspark.functions.spans import alias_forms
+from lexspark.operators import evaluate, generate, statutes, synth, tagger
 from lexspark.operators.arbitrate import first_come, suppress
 from lexspark.operators.detect import find_candidates
 from lexspark.operators.index import build, case_keys, summary
@@ -674,3 +675,17 @@ def newline_nfc_lengths(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", raw.alias("raw"), T.normalised(raw).alias("x"))
     start, end = T.raw_span(F.col("x"), F.lit(0), F.length("x.proc"))
     return d.select("doc_id", F.length("x.proc").alias("n"), start.alias("start"), F.when(end == F.length("raw"), F.length("x.proc")).otherwise(-1).alias("end"))
+
+
+_MISREAD_NAMES = ("Códig0 de Processo Civil", "Consolidação da5 Leis do Trabaiho", "Constituição Fedcral", "Lei nº 8.245/1991", "Lei nº 8.246/1991", "Estatuto da Crlança e do Adolescente", "Lei Cornplementar nº 64/90", "Regimento Interno")
+
+
+@_query("WITH a(ord, key, form) AS (VALUES " + ", ".join(f"({i}, '{k}', '{f}')" for i, (k, f) in enumerate(alias_forms())) + """),
+n AS (SELECT p_partkey AS id, trim(regexp_replace(replace(lower(strip_accents(list_value(""" + ", ".join(f"'{x}'" for x in _MISREAD_NAMES) + """)[(p_partkey % 8 + 1)::INT])), 'º', 'o'), '[^a-z0-9/]+', ' ', 'g')) AS name FROM part)
+SELECT id, key, round(levenshtein(name, form)::DOUBLE / length(form), 9) AS distance FROM n JOIN a ON levenshtein(name, form)::DOUBLE / length(form) <= 0.22 AND regexp_replace(form, '[^0-9]', '', 'g') IN ('', regexp_replace(name, '[^0-9]', '', 'g'))
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(levenshtein(name, form)::DOUBLE / length(form), 3), ord) = 1""")
+def statute_ocr_names(spark, sf_dir):
+    """Misread names of statutes joined to the table of aliases; a number that differs in a digit, and another text, meet none."""
+    name = F.element_at(F.array(*map(F.lit, _MISREAD_NAMES)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    found = statutes.nearest_alias(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("name")), statutes.alias_table(spark))
+    return found.withColumn("distance", F.round("distance", 9))
