@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.shared import new_folder
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts that a Python worker is given at once.
+TEXTS = 1000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -39,52 +40,34 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``.
+def small_batches(spark: SparkSession) -> None:
+    """Give Python workers TEXTS rows at once in this session, unless it says how many.
 
-    Only a single-process session (``local[...]``) without that setting gets a
-    temporary folder; a cluster without it is an error, since a folder of one
-    machine would be lost with it.
+    Rows hold whole texts here; Spark's 10,000 of them fill buffers on both sides that
+    an executor keeps for its life.
     """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="lexspark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, None) is None:
+        spark.conf.set(rows, TEXTS)
 
 
 class Scratch:
     """Intermediate tables under the shared folder; they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/lexspark/{uuid.uuid4().hex}"
-        self._path(self.root, lambda fs, p: fs.deleteOnExit(p))
+        self.spark, self.root = spark, new_folder(spark)
 
     def _path(self, path: str, f):
         sc = self.spark.sparkContext
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         return f(p.getFileSystem(sc._jsc.hadoopConfiguration()), p)
 
-    def table(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
-        """``df``, written and read again.  batch: rows that Python workers are given at once meanwhile, for rows that hold texts or sets."""
-        path, rows = f"{self.root}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(rows)
-        try:
-            if batch:
-                self.spark.conf.set(rows, batch)
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(rows, before)
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing will read again."""
         for name in names:
             self._path(f"{self.root}/{name}", lambda fs, p: fs.delete(p, True))
-
-    def exists(self, name: str) -> bool:
-        return self._path(f"{self.root}/{name}", lambda fs, p: fs.exists(p))

@@ -24,14 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 from .shingles import _mix, shingle_sets
 
 REGISTERS, BAND, MANTISSA = 160, 4, 10
 #: Open groups of up to SMALL nodes are settled pair by pair, others as blocks.
 SMALL, HUB_ROUNDS = 16, 3
-#: Texts that a worker is given at once.
-TEXTS = 1000
 #: Sets and hashes of a block, as expected.
 BLOCK, BLOCK_HASHES = 128, 1 << 17
 #: Linked if 100 * intersection >= 75 * union.
@@ -342,11 +340,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     threshold shares no band with a probability of 2.5e-7, whatever its size.  Texts
     are read twice, and found again by a 128-bit digest.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text_key"))
     made = d.mapInArrow(_sketched, "doc_id long, text_key binary, n long, digest binary, sketch binary")
-    read = scratch.table(made.withColumn("row", F.monotonically_increasing_id()), "sketched", TEXTS)
+    read = scratch.table(made.withColumn("row", F.monotonically_increasing_id()), "sketched")
     named = scratch.table(read.where("n > 0").groupBy("digest").agg(F.min("row").alias("nid"), F.min("doc_id").alias("min_doc")), "named")
     nodes = scratch.table(read.select(F.col("row").alias("nid"), "n", "sketch", "text_key").join(named.select("nid"), "nid", "left_semi"), "nodes")
     rows = scratch.table(nodes.select("nid", "sketch").mapInArrow(_dealt, "key long, nid long"), "dealt")
@@ -355,7 +353,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch.drop("dealt", "shared", "shared-rows")
     wanted = scratch.table(nodes.select("nid", "text_key").join(members.select("nid").distinct(), "nid", "left_semi"), "wanted")
     texts = d.select("text_key", "text").dropDuplicates(["text_key"]).join(wanted, "text_key")  # copies are met before the shuffle
-    sets = scratch.table(texts.select("nid", "text").mapInArrow(_sets_of, "nid long, hashes array<long>"), "sets-read", TEXTS)
+    sets = scratch.table(texts.select("nid", "text").mapInArrow(_sets_of, "nid long, hashes array<long>"), "sets-read")
     links = _Links(nodes, sets, scratch)
     links.add(_hub_pairs(links.open(members, ["key"], "bucket")))
     scratch.drop("bucket-open-0")

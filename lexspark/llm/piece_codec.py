@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Characters of a chunk; texts up to that are encoded as they are read. Units that a worker remembers.
 CHUNK, REMEMBERED = 1 << 16, 1 << 18
@@ -127,6 +127,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     give the same rows in the same partitions when it is read again (files or a
     checkpoint), as rows are numbered by their place.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def whole(batches):

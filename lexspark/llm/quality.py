@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 from .shingles import _SPACE, PIECE, _words
 
 #: Labelled rows that the model is fitted on, at most: a hash-random sample above that.
@@ -218,6 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Labels are sampled before their texts are read, and written, so that the texts are
     filtered by a small table; rows are sampled again if repeated ids multiply them.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
 
     def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:

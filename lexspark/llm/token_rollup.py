@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 
 KEYS = ["source", "lang", "tokenizer_version"]
 _encodings: dict = {}
@@ -56,6 +56,7 @@ def signed_counts(changes: DataFrame, tokenizer_version: str = "byte_bpe_50k", t
             tokens = pa.array([s * c for s, c in zip(signs, counts, strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), tokens, *b.columns[4:]], ["source", "lang", "documents", "tokens", *keep])
 
+    small_batches(changes.sparkSession)
     rows = changes.select(F.col("sign").cast("long").alias("sign"), "source", "lang", "text", *keep).where("sign is not null")
     kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     counted = rows.mapInArrow(run, f"source string, lang string, documents long, tokens long{kept}")
