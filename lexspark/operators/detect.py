@@ -15,7 +15,9 @@ def find_candidates(docs: DataFrame, diffuse: bool = False, neutral: tuple[str,
     """docs: (document_id, raw) -> candidates, in both normalised and raw offsets.
 
     ``neutral``: sentences of filler whose look-alikes are no citations; a short list,
-    cut down to those that would give a candidate at all.
+    cut down to those that would give a candidate at all.  Documents are dealt by id
+    over at least twice as many tasks as there are cores: reading one takes far longer
+    than moving it, and a few large files or coalesced partitions would leave cores idle.
     """
     from lexspark.functions import spans
 
@@ -44,4 +46,7 @@ def find_candidates(docs: DataFrame, diffuse: bool = False, neutral: tuple[str,
 
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     types = [kinds[t] for t in SCHEMA.replace(",", "").split()[1::2]]
-    return docs.select(F.col("document_id").cast("string"), "raw").mapInArrow(run, SCHEMA.replace(" end ", " `end` "))
+    spark = docs.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = docs.select(F.col("document_id").cast("string"), "raw").repartition(tasks, "document_id")
+    return dealt.mapInArrow(run, SCHEMA.replace(" end ", " `end` "))
