@@ -151,26 +151,31 @@ class TokenRollup:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The totals after four batches over all documents.
 
-    All are loaded; those with e-mail addresses are revised, the addresses masked, in a
-    batch that is sent twice; those labelled toxic are deleted; what is there then is
-    counted with a second tokenizer.  Texts are counted once a tokenizer and revision:
-    deletes sign the counts that were written, so no text is shuffled.
+    All are loaded; those labelled toxic are deleted; those labelled as of low quality
+    are revised, their white space collapsed, in a batch that is sent twice; what is
+    there then is counted with a second tokenizer.  Every text, and every collapsed one
+    that differs, is counted once a tokenizer; labels meet the written counts, so no text
+    is shuffled.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.lit(1).alias("sign"))
-    docs = docs.withColumn("mail", F.coalesce(F.contains("text", F.lit("@")), F.lit(False)))
-    masked = docs.withColumn("text", F.when(F.col("mail"), F.regexp_replace("text", r"[^\s@]+@[^\s@]+", "@")).otherwise(F.col("text")))
-    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    collapsed = F.regexp_replace("text", r"\s+", " ")
+    docs = docs.withColumn("changes", F.coalesce(collapsed != F.col("text"), F.lit(False)))
+    marks = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("toxic"), F.max(F.col("quality") == 0).alias("low"))
     scratch = Scratch(spark)
-    old = scratch.table(signed_counts(docs, keep=("doc_id", "mail")), "old")
-    new = scratch.table(signed_counts(masked.where("mail"), keep=("doc_id",)), "new")
-    second = scratch.table(signed_counts(masked, "byte_bpe_multi_50k", keep=("doc_id",)), "second")
+
+    def counts(version: str) -> tuple[DataFrame, DataFrame]:
+        """Counts of the texts, and of the collapsed ones that differ, with their labels."""
+        marked = lambda df, name: scratch.table(df, f"{name}-{version}").join(marks, "doc_id", "left").fillna(False, ["toxic", "low"])
+        return marked(signed_counts(docs, version, keep=("doc_id", "changes")), "old"), marked(signed_counts(docs.where("changes").withColumn("text", collapsed), version, keep=("doc_id",)), "new")
+
+    (old, new), (old_second, new_second) = counts("byte_bpe_50k"), counts("byte_bpe_multi_50k")
     negative = lambda df: df.select(*KEYS, (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens"))
     sums = [*KEYS, "documents", "tokens"]
     store = TokenRollup(spark, f"{scratch.root}/rollup")
     store.commit("load", old.select(sums))
+    store.commit("toxic", negative(old.where("toxic")))
     for _ in range(2):
-        store.commit("revise", negative(old.where("mail")).unionByName(new.select(sums)))
-    current = old.where("not mail").drop("mail").unionByName(new)
-    store.commit("toxic", negative(current.join(toxic, "doc_id", "left_semi")))
-    store.commit("second-tokenizer", second.join(toxic, "doc_id", "left_anti").select(sums))
+        store.commit("revise", negative(old.where("low and not toxic and changes")).unionByName(new.where("low and not toxic").select(sums)))
+    left = old_second.where("not toxic and not (low and changes)").select(sums).unionByName(new_second.where("low and not toxic").select(sums))
+    store.commit("second-tokenizer", left)
     return store.totals()
