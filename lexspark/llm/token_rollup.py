@@ -159,7 +159,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.lit(1).alias("sign"))
     collapsed = F.regexp_replace("text", r"\s+", " ")
-    docs = docs.withColumn("changes", F.coalesce(collapsed != F.col("text"), F.lit(False)))
+    docs = docs.withColumn("changes", F.coalesce(F.col("text").rlike(r"\s\s|[\t\n\x0B\f\r]"), F.lit(False)))  # that is, collapsed differs
     marks = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("toxic"), F.max(F.col("quality") == 0).alias("low"))
     scratch = Scratch(spark)
 
