@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 
 from lexspark import fixed
 from lexspark.functions import text as T
+from lexspark.shared import dealt, written
 
 
 @dataclass
@@ -38,11 +39,14 @@ def case_keys(decisions: DataFrame) -> DataFrame:
         F.transform(F.filter(F.array(tst), lambda x: x != ""), lambda x: T.number_key(x)), with_uf(head, fixed.HEAD_UF, F.upper),
         with_uf(F.upper(T.unaccent(head)), fixed.HEAD_STATE, lambda s: states[s]), F.transform(every(head, fixed.HEAD_CNJ, 0), lambda x: T.number_key(x)),
     )
-    k = decisions.select("id", own.alias("own"), F.transform(every(head, fixed.HEAD_ANY, 1), lambda x: T.number_key(x)).alias("others"))
-    rows = k.select("id", F.explode(F.array_distinct("own")).alias("key"), F.lit(0).alias("layer")).unionByName(
-        k.select("id", F.explode(F.array_except("others", "own")).alias("key"), F.lit(1).alias("layer"))
-    )
-    return rows.where("key <> '0'")
+    # one explode gives both layers, so headings are read once
+    marked = lambda keys, layer: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(layer).alias("layer")))
+    k = decisions.select("id", F.array_distinct(own).alias("own"), F.array_distinct(F.transform(every(head, fixed.HEAD_ANY, 1), lambda x: T.number_key(x))).alias("others"))
+    return k.select("id", F.explode(F.concat(marked(F.col("own"), 0), marked(F.array_except("others", "own"), 1))).alias("k")).select("id", "k.*").where("key <> '0'")
+
+
+def _place(records: DataFrame) -> list[str]:
+    return [c for c in records.columns if c == "place"]
 
 
 def sumula_keys(sumulas: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def sumula_keys(sumulas: DataFrame) -> DataFrame:
     part = lambda g: F.regexp_extract(head, fixed.HEAD_SUMULA, g)
     court = F.when(part(3) != "", F.upper(part(3))).otherwise(F.upper(F.coalesce("court", F.lit(""))))
     keys = F.array(F.when(part(1) != "", F.concat(court, F.lit("|SV|"), part(2))), F.concat(court, F.lit("|"), part(2)))
-    return sumulas.where(part(2) != "").select("id", F.explode(F.array_compact(keys)).alias("key"))
+    return sumulas.where(part(2) != "").select("id", *_place(sumulas), F.explode(F.array_compact(keys)).alias("key"))
 
 
 @F.pandas_udf(StringType())
@@ -62,7 +66,7 @@ def _by_name(names):
 
 def statute_keys(devices: DataFrame) -> DataFrame:
     head = F.substring("text", 1, 200)
-    d = devices.select("id", F.regexp_replace(F.regexp_extract(head, fixed.HEAD_DEVICE, 1), r"\.", "").alias("article"), F.regexp_extract(head, fixed.HEAD_DEVICE, 2).alias("law")).where("article <> ''")
+    d = devices.select("id", *_place(devices), F.regexp_replace(F.regexp_extract(head, fixed.HEAD_DEVICE, 1), r"\.", "").alias("article"), F.regexp_extract(head, fixed.HEAD_DEVICE, 2).alias("law")).where("article <> ''")
     number, year = F.regexp_replace(F.regexp_extract("law", fixed.HEAD_LAW_NUMBER, 1), r"\.", ""), F.regexp_extract("law", fixed.HEAD_LAW_NUMBER, 2)
     named = F.create_map(*(F.lit(x) for kv in fixed.NAMED_BY_NUMBER.items() for x in kv))
     folded, full = T.fold(F.col("law")), F.concat(number, F.lit("/"), year)
@@ -73,7 +77,7 @@ def statute_keys(devices: DataFrame) -> DataFrame:
     )
     d = d.withColumn("alias", known)
     by_name = d.where("alias is null").withColumn("alias", _by_name("law"))
-    return d.where("alias is not null").unionByName(by_name.where("alias is not null")).select("id", F.concat("alias", F.lit("|"), "article").alias("key"))
+    return d.where("alias is not null").unionByName(by_name.where("alias is not null")).select("id", *_place(devices), F.concat("alias", F.lit("|"), "article").alias("key"))
 
 
 def build(registry: DataFrame) -> Index:
@@ -84,20 +88,26 @@ def build(registry: DataFrame) -> Index:
     of the largest place if the registry has places, else of the largest document_id or id.
     """
     order = next(F.col(c) for c in ("place", "document_id", "id") if c in registry.columns)
-    r = registry.select(F.col("id").cast("string").alias("id"), F.col("court"), "nature", "text", order.alias("place"))
-    rows = case_keys(r.where("nature = 'acordao'"))
-    own = rows.where("layer = 0")
-    other = rows.where("layer = 1").join(own.select("key").distinct(), "key", "left_anti")
-    cases = own.unionByName(other).groupBy("key", "layer").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    last = lambda keys: keys.join(r.select("id", "place"), "id").groupBy("key").agg(F.max_by("id", F.struct("place", "id")).alias("id"))
+    r = dealt(registry.select(F.col("id").cast("string").alias("id"), F.col("court"), "nature", "text", order.alias("place")), "id")
+    ids = lambda layer: F.collect_set(F.when(F.col("layer") == layer, F.col("id")))
+    met = case_keys(r.where("nature = 'acordao'")).groupBy("key").agg(F.min("layer").alias("layer"), ids(0).alias("own"), ids(1).alias("other"))
+    cases = met.select("key", "layer", F.array_sort(F.when(F.col("layer") == 0, F.col("own")).otherwise(F.col("other"))).alias("ids"))
+    last = lambda keys: keys.groupBy("key").agg(F.max_by("id", F.struct("place", "id")).alias("id"))
     meta = r.where("nature = 'acordao'").select("id", T.heading_class(F.col("text")).alias("header_class"))
     return Index(cases, last(sumula_keys(r.where("nature = 'sumula'"))), last(statute_keys(r.where("nature = 'dispositivo'"))), meta)
 
 
 def summary(index: Index) -> DataFrame:
     """Sizes of the tables: name, n."""
+    c = index.cases.agg(F.count_if(F.col("layer") == 0).alias("own"), F.count_if((F.col("layer") == 0) & (F.size("ids") > 1)).alias("ambiguous"), F.count_if(F.col("layer") == 1).alias("secondary"))
+    sizes = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(name).alias("n")) for name in ("own", "ambiguous", "secondary")))).alias("s")
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-    return count(index.cases.where("layer = 0"), "own").unionByName(count(index.cases.where("layer = 0 and size(ids) > 1"), "ambiguous")).unionByName(count(index.cases.where("layer = 1"), "secondary")).unionByName(count(index.sumulas, "sumulas")).unionByName(count(index.statutes, "statutes"))
+    return c.select(sizes).select("s.*").unionByName(count(index.sumulas, "sumulas")).unionByName(count(index.statutes, "statutes"))
+
+
+def stored(index: Index) -> Index:
+    """The tables, each computed once, for an index that is looked up several times."""
+    return Index(*(written(getattr(index, f.name)) for f in fields(index)))
 
 
-__all__ = ["Index", "build", "case_keys", "statute_keys", "sumula_keys", "summary"]
+__all__ = ["Index", "build", "case_keys", "statute_keys", "stored", "sumula_keys", "summary"]
