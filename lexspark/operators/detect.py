@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.shared import dealt
+
 SCHEMA = (
     "document_id string, seq int, family int, start int, end int, surface string, kind string, alias string, article string, number string,"
     " court string, binding boolean, readings array<string>, uf string, n_digits int, noisy boolean, class_words int, raw_start int, raw_end int, raw_surface string"
 )
 
 
-def find_candidates(docs: DataFrame, diffuse: bool = False, neutral: tuple[str, ...] = ()) -> DataFrame:
+def arrow_types(schema: str) -> list:
+    """The Arrow types of a schema in the form of SCHEMA."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    return [kinds[t] for t in schema.replace(",", "").split()[1::2]]
+
+
+def find_candidates(docs: DataFrame, diffuse: bool = False, neutral: tuple[str, ...] = (), settled: bool = False) -> DataFrame:
     """docs: (document_id, raw) -> candidates, in both normalised and raw offsets.
 
+    ``settled``: only those that stay by ``arbitrate``'s rule, with their number by place in
+    the document (place); rows of one document meet by a sort inside of the tasks, so
+    candidates needn't be shuffled again.
+
     ``neutral``: sentences of filler whose look-alikes are no citations; a short list,
-    cut down to those that would give a candidate at all.  Documents are dealt by id
-    over at least twice as many tasks as there are cores: reading one takes far longer
-    than moving it, and a few large files or coalesced partitions would leave cores idle.
+    cut down to those that would give a candidate at all.  Documents are dealt by id.
     """
     from lexspark.functions import spans
 
@@ -26,27 +38,43 @@ def find_candidates(docs: DataFrame, diffuse: bool = False, neutral: tuple[str,
     def run(batches):
         import pyarrow as pa
 
-        from lexspark.functions.spans import candidates
+        from lexspark.functions.spans import candidates, first_come
         from lexspark.functions.text import normalise
 
-        names = SCHEMA.replace(",", "").split()[::2]
+        def read(doc, raw):
+            text, starts, ends = normalise(raw)
+            for i, c in enumerate(candidates(text, diffuse, listed)):
+                a, z = (c.start, c.end) if starts is None else (starts[c.start], ends[c.end - 1])
+                yield (doc, i, c.family, c.start, c.end, text[c.start : c.end], c.kind, c.alias, c.article, c.number, c.court, c.binding, c.readings, c.uf, c.n_digits, c.noisy, c.class_words, a, z, raw[a:z])
+
+        def settle(rows):
+            kept = first_come(sorted(rows, key=lambda r: (r[2], r[1], *r[3:7])) if len(rows) > 1 else rows, at=3)
+            place = {id(r): n for n, r in enumerate(sorted(kept, key=lambda r: r[3]), 1)}
+            return [(*r, place[id(r)]) for r in kept]
+
+        def batch(rows):
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
+
+        last, own, rows = None, [], []
         for b in batches:
-            rows = []
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not raw:
                     continue
-                text, starts, ends = normalise(raw)
-                for i, c in enumerate(candidates(text, diffuse, listed)):
-                    a, z = (c.start, c.end) if starts is None else (starts[c.start], ends[c.end - 1])
-                    rows.append((doc, i, c.family, c.start, c.end, text[c.start : c.end], c.kind, c.alias, c.article, c.number, c.court, c.binding, c.readings, c.uf, c.n_digits, c.noisy, c.class_words, a, z, raw[a:z]))
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
-
-    import pyarrow as pa
+                if not settled:
+                    rows += read(doc, raw)
+                    continue
+                if doc != last:
+                    rows += settle(own)
+                    last, own = doc, []
+                own += read(doc, raw)
+            yield batch(rows)
+            rows = []
+        yield batch(settle(own))
 
-    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-    types = [kinds[t] for t in SCHEMA.replace(",", "").split()[1::2]]
-    spark = docs.sparkSession
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select(F.col("document_id").cast("string"), "raw").repartition(tasks, "document_id")
-    return dealt.mapInArrow(run, SCHEMA.replace(" end ", " `end` "))
+    schema = SCHEMA + ", place int" if settled else SCHEMA
+    names, types = schema.replace(",", "").split()[::2], arrow_types(schema)
+    d = dealt(docs.select(F.col("document_id").cast("string"), "raw"), "document_id")
+    if settled:
+        d = d.sortWithinPartitions("document_id")
+    return d.mapInArrow(run, schema.replace(" end ", " `end` "))

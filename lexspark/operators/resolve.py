@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark import fixed
@@ -27,11 +27,12 @@ def case_hits(cases: DataFrame, index: Index) -> DataFrame:
     keys = F.flatten(F.transform("readings", lambda r: F.array_compact(F.array(key(r, F.col("uf")), key(r, None)))))
     tried = cases.select(*_ID, "surface", F.posexplode(keys).alias("place", "key"))
     hits = tried.join(index.cases, "key").groupBy(*_ID).agg(F.min_by(F.struct("ids", "layer", "surface"), F.struct("layer", "place")).alias("h")).select(*_ID, "h.*")
-    several = hits.where("size(ids) > 1").select(*_ID, "surface", F.explode("ids").alias("id")).join(index.meta, "id", "left")
-    close = T.multiset_jaccard(T.class_tokens(F.col("surface")), T.class_tokens(F.coalesce("header_class", F.lit(""))))
-    best = several.withColumn("close", close).withColumn("rank", F.row_number().over(Window.partitionBy(*_ID).orderBy(F.desc("close"), F.col("id").cast("long"))))
-    best = best.where("rank = 1").select(*_ID, F.col("id").alias("closest"))
-    return hits.join(best, _ID, "left").select(*_ID, "ids", "layer", F.coalesce("closest", F.element_at("ids", 1)).alias("canonical_id"))
+    several = hits.where("size(ids) > 1").select(*_ID, "layer", "ids", "surface", F.explode("ids").alias("id")).join(index.meta, "id", "left")
+    # words are taken once a row: inside of the measure they would be taken again for each word
+    words = several.withColumns({"said": T.class_tokens(F.col("surface")), "headed": T.class_tokens(F.coalesce("header_class", F.lit("")))})
+    close = words.withColumn("close", T.multiset_jaccard(F.col("said"), F.col("headed")))
+    best = close.groupBy(*_ID).agg(F.first("ids").alias("ids"), F.first("layer").alias("layer"), F.min_by("id", F.struct(-F.col("close"), F.col("id").cast("long"))).alias("canonical_id"))
+    return hits.where("size(ids) = 1").select(*_ID, "ids", "layer", F.element_at("ids", 1).alias("canonical_id")).unionByName(best)
 
 
 def resolve(candidates: DataFrame, index: Index, calibrated: bool = False) -> DataFrame:
@@ -40,10 +41,11 @@ def resolve(candidates: DataFrame, index: Index, calibrated: bool = False) -> Da
     bare = index.sumulas.select(F.element_at(F.split("key", r"\|"), -1).alias("number"), "id").groupBy("number").agg(F.collect_set("id").alias("bare"))
     sumula_key = F.when(F.col("binding"), F.concat(F.lit("STF|SV|"), "number")).when(F.col("court").isNotNull(), F.concat("court", F.lit("|"), "number"))
     c = candidates.withColumn("lookup", F.when(F.col("family") == spans.STATUTE, F.concat("alias", F.lit("|"), "article")).when(F.col("family") == spans.SUMULA, sumula_key))
-    keyed = index.sumulas.select(F.lit(spans.SUMULA).alias("family"), F.col("key").alias("lookup"), F.col("id").alias("found")).unionByName(
-        index.statutes.select(F.lit(spans.STATUTE).alias("family"), F.col("key").alias("lookup"), F.col("id").alias("found"))
-    )
-    c = c.join(keyed, ["family", "lookup"], "left").join(bare, "number", "left").join(hits, _ID, "left")
+    # only those that have a key of a kind meet its table, by narrow rows; then all that was found meets the candidates at once
+    keyed = lambda family, table: c.where((F.col("family") == family) & F.col("lookup").isNotNull()).select(*_ID, F.col("lookup").alias("key")).join(table.select("key", F.col("id").alias("found")), "key").drop("key")
+    by_number = c.where((F.col("family") == spans.SUMULA) & F.col("lookup").isNull()).select(*_ID, "number").join(bare, "number").drop("number")
+    met = hits.unionByName(keyed(spans.STATUTE, index.statutes), True).unionByName(keyed(spans.SUMULA, index.sumulas), True).unionByName(by_number, True)
+    c = c.join(met, _ID, "left")
     of = lambda f: F.col("family") == f
     unkeyed = of(spans.SUMULA) & F.col("lookup").isNull()
     n_bare = F.coalesce(F.size("bare"), F.lit(0))
@@ -65,5 +67,5 @@ def resolve(candidates: DataFrame, index: Index, calibrated: bool = False) -> Da
     return out.select(
         "document_id", "family", "seq", "start", "end", "surface", "kind", F.col("verdict_").alias("verdict"), F.col("found_").alias("canonical_id"),
         (table[F.col("evidence_")] if calibrated else F.lit(1.0)).alias("confidence"), F.col("evidence_").alias("evidence"), F.col("signals_").alias("signals"),
-        *(x for x in ("raw_start", "raw_end", "raw_surface") if x in candidates.columns),
+        *(x for x in ("raw_start", "raw_end", "raw_surface", "place") if x in candidates.columns),
     )
