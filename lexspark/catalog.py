@@ -15,9 +15,9 @@ from lexspark.functions.spans import alias_forms
 from lexspark.operators import evaluate, generate, statutes, synth, tagger
 from lexspark.operators.arbitrate import first_come, suppress
 from lexspark.operators.detect import find_candidates
-from lexspark.operators.index import build, case_keys, summary
+from lexspark.operators.index import build, case_keys, stored, summary
 from lexspark.plans.verify import contract, submission, submission_counts, verify
-from lexspark.shared import new_folder, written
+from lexspark.shared import dealt, new_folder, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -294,10 +294,10 @@ def occupancy_fold(spark, sf_dir):
     return rows.select("user_id", F.explode(first_come(F.col("r"))).alias("x")).select("user_id", "x.event_id")
 
 
-def _verified_with(spark, sf_dir):
+def _verified_with(spark, sf_dir, kept=lambda index: index):
     o = _orders(spark, sf_dir)
     d = _docs(o, F.when(F.col("o_orderkey") % 10 == 9, "Nada consta.").otherwise(_cited("Conforme o REsp nº ")))
-    index = build(_registry(o.where("o_orderstatus <> 'O'"), _heading()))
+    index = kept(build(_registry(o.where("o_orderstatus <> 'O'"), _heading())))
     return d, index, verify(d, index)
 
 
@@ -487,7 +487,7 @@ def ocr_noise(spark, sf_dir):
 @_query()
 def train_calibration(spark, sf_dir):
     _, c = _verified(spark, sf_dir)
-    rows = tagger.features(c).withColumn("ok", (F.col("verdict") == "real").cast("int"))
+    rows = written(tagger.features(c).select("document_id", "citation_id", "features", (F.col("verdict") == "real").cast("int").alias("ok")))  # training and scoring read it
     coefficients, intercept = tagger.train_calibration(rows)
     return tagger.logistic_scores(rows, coefficients, intercept).select("document_id", "citation_id", "score")
 
@@ -495,7 +495,8 @@ def train_calibration(spark, sf_dir):
 @_query()
 def tagger_fusion(spark, sf_dir):
     """A simulated tagger over the citations' truth, merged with half of the rules' output and resolved."""
-    d, index, c = _verified_with(spark, sf_dir)
+    d, index, c = _verified_with(spark, sf_dir, stored)
+    c = written(c)
     half = c.where(F.pmod(F.xxhash64("document_id"), F.lit(2)) == 0)
     return tagger.merge(d, half, tagger.simulate(c), index).select(*_CASE_COLS)
 
@@ -627,7 +628,7 @@ def identifier_noise(spark, sf_dir):
     """Noise inside of citations keeps their digits in order, and the record is found all the same."""
     o = _orders(spark, sf_dir)
     clean = F.concat(F.lit("REsp nº "), "d", F.lit("/"), "uf")
-    n = written(o.select("o_orderkey", "n", clean.alias("clean"), generate.identifier_noise(clean, "o_orderkey").alias("noisy")))
+    n = written(dealt(o, "o_orderkey").select("o_orderkey", "n", clean.alias("clean"), generate.identifier_noise(clean, "o_orderkey").alias("noisy")))
     d = n.select(F.col("o_orderkey").cast("string").alias("document_id"), F.concat(F.lit("Conforme o "), "noisy", F.lit(" nega-se.")).alias("raw"))
     c = verify(d, build(_registry(o, _heading()))).where("verdict = 'real'").select(F.col("document_id").cast("long").alias("o_orderkey"), F.col("canonical_id"))
     read = F.coalesce(F.col("canonical_id") == (F.col("o_orderkey") + 7000000000).cast("string"), F.lit(False))
@@ -657,13 +658,13 @@ def fused_citations(spark, sf_dir):
     o = _orders(spark, sf_dir)
     first = F.concat(F.lit("REsp nº "), "d", F.lit("/"), "uf")
     d = _docs(o, F.concat(F.lit("Conforme o "), first, F.lit(" e o que ali se disse quanto ao feito "), "d", F.lit(" do acervo.")))
-    index = build(_registry(o.where("o_orderstatus <> 'O'"), _heading()))
+    index = stored(build(_registry(o.where("o_orderstatus <> 'O'"), _heading())))
     at = F.length(F.concat(F.lit("Conforme o "), first, F.lit(" e o que ali se disse quanto ao ")))
     end = at + F.length(F.concat(F.lit("feito "), "d"))
     span = lambda a, b, score: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit("JUR").alias("label"), F.lit(score).alias("score"))
     given = F.array(span(at - 16, at + 3, 0.99), span(at, end, 0.95), span(F.lit(13), F.lit(25), 0.99), span(end + 2, end + 9, 0.5))
     tagged = o.select(F.col("o_orderkey").cast("string").alias("document_id"), F.explode(given).alias("s")).select("document_id", "s.*")
-    return tagger.merge(d, verify(d, index), tagged, index).select("document_id", "citation_id", "surface", "verdict", "canonical_id", "evidence")
+    return tagger.merge(d, written(verify(d, index)), tagged, index).select("document_id", "citation_id", "surface", "verdict", "canonical_id", "evidence")
 
 
 @_query("SELECT doc_id, length(text)::INT AS n, 0 AS \"start\", length(text)::INT AS \"end\" FROM documents WHERE length(text) > 0")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark import fixed
+from lexspark.shared import written
 
 from .arbitrate import first_come
 from .index import Index
@@ -73,42 +74,47 @@ def classify_spans(docs: DataFrame, spans: DataFrame, margin: int = fixed.FUSION
     Strict: those that alone name nothing are dropped unless vague.  own_bare is the
     number of a súmula without a court that a span alone names.
     """
-    from .detect import SCHEMA
+    from .detect import SCHEMA, arrow_types
 
     s = spans.join(docs.select("document_id", "raw"), "document_id").select(
         "document_id", "start", "end", F.substring("raw", F.col("start") + 1, F.col("end") - F.col("start")).alias("own"),
         F.substring("raw", F.greatest(F.col("start") - margin, F.lit(0)) + 1, F.col("end") + margin - F.greatest(F.col("start") - margin, F.lit(0))).alias("wide"),
     )
 
+    schema = SCHEMA + ", own_bare string"
+    names = schema.replace(",", "").split()[::2]
+
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         from lexspark.functions.spans import SUMULA, VAGUE, single, vague
 
-        names = [*SCHEMA.replace(",", "").split()[::2], "own_bare"]
         for b in batches:
             rows = []
-            for r in b.itertuples(index=False):
-                alone, c = single(r.own), single(r.wide)
-                named = any(z - a >= fixed.VAGUE_SHARE * len(r.own.strip()) for a, z, _ in vague(r.own))
-                if not strict or alone.family != VAGUE or named:
+            for doc, start, end, own, wide in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                alone = single(own)
+                named = not strict or alone.family != VAGUE or any(z - a >= fixed.VAGUE_SHARE * len(own.strip()) for a, z, _ in vague(own))
+                if named:
+                    c = single(wide)
                     bare = alone.number if alone.family == SUMULA and not alone.binding and alone.court is None else None
-                    rows.append((r.document_id, r.start, c.family, r.start, r.end, r.wide, c.kind, c.alias, c.article, c.number, c.court, c.binding, c.readings, c.uf, c.n_digits, c.noisy, c.class_words, r.start, r.end, r.own, bare))
-            yield pd.DataFrame(rows, columns=names)
+                    rows.append((doc, start, c.family, start, end, wide, c.kind, c.alias, c.article, c.number, c.court, c.binding, c.readings, c.uf, c.n_digits, c.noisy, c.class_words, start, end, own, bare))
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, arrow_types(schema), strict=True)], names)
 
-    return s.mapInPandas(run, SCHEMA.replace(" end ", " `end` ") + ", own_bare string")
+    return s.mapInArrow(run, schema.replace(" end ", " `end` "))
 
 
 def merge(docs: DataFrame, citations: DataFrame, tagged: DataFrame, index: Index, strict: bool = True, calibrated: bool = False, least: float = fixed.FUSION_SCORE) -> DataFrame:
     """The rules' citations and those that the tagger adds, numbered by place; added ones have evidence ``ner:*`` and no signals.
 
     A span that names nothing, or alone stays ambiguous, blocks no other: spans are read first and folded then.
+    ``citations`` and the index are read twice; write them first if they cost much.
     """
     spans = tagged.where(F.col("score") >= least).groupBy("document_id", "start", "end").agg(F.max_by("label", "score").alias("label"), F.max("score").alias("score"))
-    read = classify_spans(docs, spans, strict=strict)
+    read = written(classify_spans(docs, spans, strict=strict))
     if strict:
         several = index.sumulas.select(F.element_at(F.split("key", r"\|"), -1).alias("own_bare"), "id").groupBy("own_bare").agg(F.count_distinct("id").alias("n")).where("n > 1")
-        read = read.join(several, "own_bare", "left_anti")
+        read = read.where("own_bare is null").unionByName(read.where("own_bare is not null").join(several, "own_bare", "left_anti"))
     at = ["document_id", "start", "end"]
     added = fuse(citations, read.select(*at).join(spans, at), strict, least).select(*at)
     order = F.row_number().over(Window.partitionBy("document_id").orderBy("start", "end"))
