@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -95,35 +97,97 @@ def keeps_identity(noisy: Column, original: Column) -> Column:
 NORMALISED = StructType([StructField("proc", StringType()), StructField("start", ArrayType(IntegerType())), StructField("end", ArrayType(IntegerType()))])
 
 
-def normalise(raw: str | None):
-    """(text, starts, ends): no BOM, LF line ends, NFC; the arrays give each code point's place in raw, and are None if raw is unchanged."""
-    if raw is None:
-        return None
-    if "\r" not in raw and not raw.startswith("﻿") and unicodedata.is_normalized("NFC", raw):
+@cache
+def _changing():
+    """Finds what normalisation may change: line ends, characters with marks after them, characters that are composed otherwise."""
+    import sys
+
+    import regex
+
+    def ranges(codes):
+        out = []
+        for c in codes:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in out)
+
+    every = [(i, c) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 for c in [chr(i)]]
+    marks, others = ranges(i for i, c in every if unicodedata.combining(c)), ranges(i for i, c in every if unicodedata.normalize("NFC", c) != c)
+    return regex.compile(rf"\r\n?|[^\r][{marks}]+|[{others}]", regex.S)
+
+
+def _normalise(raw: str):
+    """As ``normalise``, with arrays of 32 bits."""
+    import numpy as np
+
+    if "\r" not in raw and not raw.startswith("\ufeff") and unicodedata.is_normalized("NFC", raw):
         return raw, None, None
-    out, starts, ends, i = [], [], [], int(raw.startswith("﻿"))
-    while i < len(raw):
-        j = i + 1
-        if raw[i] == "\r":
-            j += raw[j : j + 1] == "\n"
-            piece = "\n"
-        else:
-            while j < len(raw) and unicodedata.combining(raw[j]):
-                j += 1
-            piece = unicodedata.normalize("NFC", raw[i:j])
-        out.append(piece)
-        starts += [i] * len(piece)
-        ends += [j] * len(piece)
-        i = j
+    at = bom = int(raw.startswith("\ufeff"))
+    out, changes, n = [], [], 0
+    for m in _changing().finditer(raw, bom):
+        i, j = m.span()
+        piece = "\n" if raw[i] == "\r" else unicodedata.normalize("NFC", m.group())
+        out += (raw[at:i], piece)
+        n += i - at
+        changes.append((n, len(piece), i, j))
+        n += len(piece)
+        at = j
+    out.append(raw[at:])
+    n += len(raw) - at
+    places, sizes, i, j = np.array(changes, np.int32).reshape(-1, 4).T
+    steps = np.ones(n + 1, np.int32)
+    steps[0] = bom
+    for p, k in zip(places[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        steps[p + 1 : p + k] = 0
+    steps[places + sizes] = j - i
+    # a change that starts a text has nothing before it, so its own step is the text's start
+    starts = np.cumsum(steps[:n], dtype=np.int32)
+    ends = starts + 1
+    ends[places] = j
+    for p, k, z in zip(places[sizes > 1].tolist(), sizes[sizes > 1].tolist(), j[sizes > 1].tolist(), strict=True):
+        ends[p : p + k] = z
     return "".join(out), starts, ends
 
 
-@F.pandas_udf(NORMALISED)
-def normalised(raw):
-    import pandas as pd
-
-    rows = [normalise(x) or (None, None, None) for x in raw]
-    return pd.DataFrame(rows, columns=["proc", "start", "end"])
+def normalise(raw: str | None):
+    """(text, starts, ends): no BOM, LF line ends, NFC; the arrays give each code point's place in raw, and are None if raw is unchanged."""
+    if raw is None:
+        return None
+    text, starts, ends = _normalise(raw)
+    return text, *(None if x is None else x.tolist() for x in (starts, ends))
+
+
+#: Code points of the texts whose results leave a worker at once: arrays take eight bytes of each.
+_AT_ONCE = 1 << 20
+
+
+@F.arrow_udf(NORMALISED)
+def normalised(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``normalise`` as a column; results leave a worker some megabytes at a time, however many texts come at once."""
+    import numpy as np
+
+    def lists(arrays):
+        offsets = np.cumsum([0, *(0 if x is None else len(x) for x in arrays)], dtype=np.int32)
+        values = [x for x in arrays if x is not None]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0, np.int32)), mask=pa.array([x is None for x in arrays]))
+
+    def done(rows):
+        texts, starts, ends = zip(*rows, strict=True)
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), lists(starts), lists(ends)], ["proc", "start", "end"])
+
+    for b in batches:
+        rows, size = [], 0
+        for x in b:
+            raw = x.as_py()
+            rows.append((None, None, None) if raw is None else _normalise(raw))
+            size += len(raw or "")
+            if size >= _AT_ONCE:
+                yield done(rows)
+                rows, size = [], 0
+        if rows:
+            yield done(rows)
 
 
 def raw_span(n: Column, start: Column, end: Column) -> tuple[Column, Column]:
