@@ -208,7 +208,7 @@ def statute_digit_guard(spark, sf_dir):
 
 
 def _sumulas(spark, sf_dir):
-    """All suppliers as súmulas of five courts; a number has four digits at most, so keys up to 49,994 have one of their own."""
+    """All suppliers as súmulas of five courts."""
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.expr("s_suppkey div 5 + 1").alias("number"), F.element_at(F.array(*map(F.lit, fixed.COURTS)), (F.col("s_suppkey") % 5 + 1).cast("int")).alias("court"))
     r = s.where("s_suppkey % 3 <> 0").select((F.col("s_suppkey") + 6000000000).alias("id"), F.col("court"), F.lit("sumula").alias("nature"), F.concat(F.lit("Súmula n. "), F.col("number").cast("string"), F.lit(" do "), "court", F.lit(" Texto")).alias("text"))
     return s, r

@@ -77,3 +77,15 @@ def test_noise_has_all_confusions(spark):
     assert out["arno"].noisy == "ãmõ" and out["rrnrn"].noisy == "rmm" and out["arno"].edits == out["arno"].exact == 4
     assert out["123 xyz"].noisy.replace("  ", " ") == "123 xyz"
     assert 3 <= sum("  " in r.noisy for r in out.values()) <= 35 and all(r.noisy.count("  ") <= 1 for r in out.values())
+
+
+@pytest.mark.parametrize("name", ["sumula_verdicts", "sumula_bare_ambiguous", "sumula_forms"])
+def test_sumulas_whose_numbers_have_more_than_four_digits(spark, tmp_path, name):
+    import duckdb
+
+    spark.range(49_980, 50_020).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    cols = ", ".join(df.columns)
+    assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, con.execute(f"select {cols} from ({catalog.ORACLES[name]})").fetchall()))
