@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -49,12 +49,24 @@ def _place(records: DataFrame) -> list[str]:
     return [c for c in records.columns if c == "place"]
 
 
+def _each(records: DataFrame, *made: Column) -> DataFrame:
+    """``records`` with the fields of each struct made that isn't null.
+
+    An explode stays where it is: a filter on what is read from headings would be moved
+    before the records are dealt, into the few tasks of their files, and read them once for
+    each time that it names them.
+    """
+    keep = [c for c in records.columns if c != "text"]
+    return records.select(*keep, F.explode(F.array_compact(F.array(*made))).alias("made")).select(*keep, "made.*")
+
+
 def sumula_keys(sumulas: DataFrame) -> DataFrame:
     head = F.substring("text", 1, 120)
     part = lambda g: F.regexp_extract(head, fixed.HEAD_SUMULA, g)
-    court = F.when(part(3) != "", F.upper(part(3))).otherwise(F.upper(F.coalesce("court", F.lit(""))))
-    keys = F.array(F.when(part(1) != "", F.concat(court, F.lit("|SV|"), part(2))), F.concat(court, F.lit("|"), part(2)))
-    return sumulas.where(part(2) != "").select("id", *_place(sumulas), F.explode(F.array_compact(keys)).alias("key"))
+    read = _each(sumulas, F.struct(part(1).alias("binding"), part(2).alias("number"), part(3).alias("of"))).where("number <> ''")
+    court = F.when(F.col("of") != "", F.upper("of")).otherwise(F.upper(F.coalesce("court", F.lit(""))))
+    keys = F.array(F.when(F.col("binding") != "", F.concat(court, F.lit("|SV|"), "number")), F.concat(court, F.lit("|"), "number"))
+    return read.select("id", *_place(sumulas), F.explode(F.array_compact(keys)).alias("key"))
 
 
 @F.pandas_udf(StringType())
@@ -66,10 +78,11 @@ def _by_name(names):
 
 def statute_keys(devices: DataFrame) -> DataFrame:
     head = F.substring("text", 1, 200)
-    d = devices.select("id", *_place(devices), F.regexp_replace(F.regexp_extract(head, fixed.HEAD_DEVICE, 1), r"\.", "").alias("article"), F.regexp_extract(head, fixed.HEAD_DEVICE, 2).alias("law")).where("article <> ''")
+    d = _each(devices, F.struct(F.regexp_replace(F.regexp_extract(head, fixed.HEAD_DEVICE, 1), r"\.", "").alias("article"), F.regexp_extract(head, fixed.HEAD_DEVICE, 2).alias("law"))).where("article <> ''")
     number, year = F.regexp_replace(F.regexp_extract("law", fixed.HEAD_LAW_NUMBER, 1), r"\.", ""), F.regexp_extract("law", fixed.HEAD_LAW_NUMBER, 2)
+    d = _each(d, F.struct(number.alias("number"), year.alias("year"), T.fold(F.col("law")).alias("folded")))
     named = F.create_map(*(F.lit(x) for kv in fixed.NAMED_BY_NUMBER.items() for x in kv))
-    folded, full = T.fold(F.col("law")), F.concat(number, F.lit("/"), year)
+    number, year, folded, full = F.col("number"), F.col("year"), F.col("folded"), F.concat("number", F.lit("/"), "year")
     known = (
         F.when(folded.contains("constitui"), F.lit("CF"))
         .when(folded.contains("complementar") & (number != ""), F.concat(F.lit("LC "), number, F.when(year != "", F.concat(F.lit("/"), year)).otherwise("")))
@@ -77,7 +90,8 @@ def statute_keys(devices: DataFrame) -> DataFrame:
     )
     d = d.withColumn("alias", known)
     by_name = d.where("alias is null").withColumn("alias", _by_name("law"))
-    return d.where("alias is not null").unionByName(by_name.where("alias is not null")).select("id", *_place(devices), F.concat("alias", F.lit("|"), "article").alias("key"))
+    key = F.when(F.col("alias").isNotNull(), F.struct(F.concat("alias", F.lit("|"), "article").alias("key")))
+    return _each(d, key).unionByName(_each(by_name, key)).select("id", *_place(devices), "key")
 
 
 def build(registry: DataFrame) -> Index:
