@@ -14,12 +14,11 @@ from lexspark.llm import line_dedup, near_dedup, piece_codec, quality, source_mi
 from lexspark.llm.common import Scratch, fresh, table
 
 
-def _measured(docs: DataFrame, changed) -> DataFrame:
-    """n_chars, if there is such a column, follows the text where ``changed`` holds."""
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars, if there is such a column, follows the text."""
     if "n_chars" not in docs.columns:
         return docs
-    kind = docs.schema["n_chars"].dataType
-    return docs.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +36,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A null source is a source.  A null text stays null; one that loses all its lines
     becomes empty.  Repeated rows count as pages of their own.
     """
-    (was,) = fresh(docs, "was")
-    out = line_dedup.drop_boilerplate(docs.withColumn(was, F.col("text")), counts=False)
-    return _measured(out, ~F.col("text").eqNullSafe(F.col(was))).select(*(f"`{c}`" for c in docs.columns))
+    return line_dedup.drop_boilerplate(docs, counts=False, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +58,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null source is a source, the last one.  Texts without words come once.  What
     repeated rows take together doesn't depend on their order.
     """
-    return _measured(source_mix.mixed_rows(docs), F.lit(True))
+    return _measured(source_mix.mixed_rows(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ from lexspark.shared import new_folder
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Texts that a Python worker is given at once.
-TEXTS = 1000
+#: Texts that a Python worker is given at once, and that are read from a file at once.
+TEXTS, READ = 1000, 256
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -41,14 +41,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Give Python workers TEXTS rows at once in this session, unless it says how many.
+    """Give Python workers TEXTS rows at once in this session and read READ of a file at once, unless it says how many.
 
     Rows hold whole texts here; Spark's 10,000 of them fill buffers on both sides that
-    an executor keeps for its life.
+    an executor keeps for its life, and its 4,096 a file fill arrays that double as they
+    grow, each too large for a region of the heap.
     """
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows, None) is None:
-        spark.conf.set(rows, TEXTS)
+    own = spark.sparkContext.getConf()
+    for name, rows, usual in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS, 10000), ("spark.sql.parquet.columnarReaderBatchSize", READ, 4096)):
+        if not own.contains(name) and int(spark.conf.get(name)) == usual:
+            spark.conf.set(name, rows)
 
 
 class Scratch:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, table
+from .common import Scratch, fresh, small_batches, table
 
 #: Ordinary lines of a site stand on up to 4.8 % of its pages in the given tables, boilerplate on 9 % at least; copies of a page count as pages.
 MAX_RATIO, REPEATED = 0.07, 3
@@ -45,15 +45,17 @@ def boilerplate(docs: DataFrame, site_col: str, text_col: str, max_ratio: float
     return often.groupBy("site").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, repeated: int = REPEATED, counts: bool = True) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, repeated: int = REPEATED, counts: bool = True, length_col: str | None = None) -> DataFrame:
     """``docs`` with its text cleaned, and, if ``counts``, line_count and lines_dropped (lines that aren't blank).
 
     Null sites are one site.  A null text stays null and has no lines; a text that
     loses all its lines becomes empty, its row stays.  Repeated rows count as pages
     of their own.  A very long text is split and joined as one value; an empty table
     gives no rows.  Columns of those two names in ``docs`` are replaced; without
-    ``counts`` every other column stays as it is.
+    ``counts`` every other column stays as it is, but for ``length_col``, which follows
+    the text where lines went.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     site, salt, gone, lines, kept = fresh(docs, "site", "salt", "boilerplate", "lines", "kept")
     found = scratch.table(boilerplate(docs, site_col, text_col, max_ratio, repeated), "boilerplate")
@@ -63,7 +65,12 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
     d = d.withColumn(kept, F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col(gone), _bare(x)), F.lit(True))))
     filled = F.coalesce(F.size(F.filter(lines, lambda x: _bare(x) != "")), F.lit(0))
     known = F.col(lines).isNotNull()
-    out = {text_col: F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))}
+    # a text that loses no line is passed on as it is
+    loses = F.coalesce(F.size(kept) < F.size(lines), F.lit(False))
+    cleaned = F.when(loses, F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    out = {text_col: cleaned}
+    if length_col is not None:
+        out[length_col] = F.when(loses, F.length(cleaned).cast(docs.schema[length_col].dataType)).otherwise(F.col(f"`{length_col}`"))
     if counts:
         out["line_count"] = F.when(known, filled).otherwise(F.lit(0)).cast("long")
         out["lines_dropped"] = F.when(known, F.size(lines) - F.size(kept)).otherwise(F.lit(0)).cast("long")

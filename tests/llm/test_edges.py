@@ -392,3 +392,22 @@ def test_piece_codec(spark, docs, nothing, monkeypatch):
     back = piece_codec.decode(piece_codec.encode(d)).select("doc_id", "decoded_text").collect()
     assert sorted((str(r.doc_id), r.decoded_text) for r in back) == sorted((str(i), (t or "").replace("▁", " ")) for i, t, *_ in ROWS + extra)
     assert piece_codec.encode(nothing).count() == 0
+
+
+def test_texts_are_read_in_small_batches(spark):
+    """Rows hold whole texts: few of them are read from a file at once, unless the session says how many."""
+    from lexspark.llm.common import READ
+
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    docs = spark.createDataFrame([(1, "a\nb\na", "s", 5), (2, None, "s", 0), (3, "x\nb", "s", 9), (4, "y\nb", "s", 3)], "doc_id long, text string, source string, n_chars int")
+    was = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        out = line_dedup.drop_boilerplate(docs, counts=False, length_col="n_chars")
+        assert int(spark.conf.get(name)) == READ
+        assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect()) == [(1, "a\na", 3), (2, None, 0), (3, "x", 1), (4, "y", 1)]
+        spark.conf.set(name, 77)
+        line_dedup.drop_boilerplate(docs)
+        assert int(spark.conf.get(name)) == 77
+    finally:
+        spark.conf.set(name, was)
