@@ -38,17 +38,21 @@ def find_candidates(docs: DataFrame, diffuse: bool = False, neutral: tuple[str,
     def run(batches):
         import pyarrow as pa
 
-        from lexspark.functions.spans import candidates, first_come
+        import pyarrow.compute as pc
+
+        from lexspark.functions.spans import OTHERS, candidates, first_come
         from lexspark.functions.text import normalise
 
-        def read(doc, raw):
+        def read(doc, raw, only_numbers):
             text, starts, ends = normalise(raw)
-            for i, c in enumerate(candidates(text, diffuse, listed)):
+            for i, c in enumerate(candidates(text, diffuse, listed, only_numbers and text is raw)):
                 a, z = (c.start, c.end) if starts is None else (starts[c.start], ends[c.end - 1])
                 yield (doc, i, c.family, c.start, c.end, text[c.start : c.end], c.kind, c.alias, c.article, c.number, c.court, c.binding, c.readings, c.uf, c.n_digits, c.noisy, c.class_words, a, z, raw[a:z])
 
         def settle(rows):
-            kept = first_come(sorted(rows, key=lambda r: (r[2], r[1], *r[3:7])) if len(rows) > 1 else rows, at=3)
+            if len(rows) < 2:
+                return [(*r, 1) for r in rows]
+            kept = first_come(sorted(rows, key=lambda r: (r[2], r[1], *r[3:7])), at=3)
             place = {id(r): n for n, r in enumerate(sorted(kept, key=lambda r: r[3]), 1)}
             return [(*r, place[id(r)]) for r in kept]
 
@@ -58,16 +62,17 @@ def find_candidates(docs: DataFrame, diffuse: bool = False, neutral: tuple[str,
 
         last, own, rows = None, [], []
         for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            others = pc.match_substring_regex(b.column(1), OTHERS)
+            for doc, raw, other in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), others.to_pylist(), strict=True):
                 if not raw:
                     continue
                 if not settled:
-                    rows += read(doc, raw)
+                    rows += read(doc, raw, not other)
                     continue
                 if doc != last:
                     rows += settle(own)
                     last, own = doc, []
-                own += read(doc, raw)
+                own += read(doc, raw, not other)
             yield batch(rows)
             rows = []
         yield batch(settle(own))
