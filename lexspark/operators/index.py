@@ -26,22 +26,30 @@ class Index:
 def case_keys(decisions: DataFrame) -> DataFrame:
     """(id, key, layer): layer 0 for a record's own numbers, 1 for other numbers in its heading."""
     text, head = F.col("text"), F.substring("text", 1, fixed.HEADING_WINDOW)
-    every = lambda c, p, g: F.regexp_extract_all(c, F.lit(p), F.lit(g))
+    every = lambda c, p, g=0: F.regexp_extract_all(c, F.lit(p), F.lit(g))
+    only_if = lambda c, p, keys: F.when(c.rlike(p), keys).otherwise(F.array().cast("array<string>"))
     states = F.create_map(*(F.lit(x) for kv in fixed.STATES.items() for x in kv))
 
-    def with_uf(c, p, uf):
-        pairs = F.arrays_zip(every(c, p, 1).alias("n"), every(c, p, 2).alias("u"))
-        return F.flatten(F.transform(pairs, lambda x: F.array(T.number_key(x["n"], uf(x["u"])), T.number_key(x["n"]))))
+    # each step names its values, for a function of an element works out again what it is given twice
+    not_empty = lambda d: F.when(d == "", "0").otherwise(d)
+    bare = lambda m: F.ltrim(T.digits(m), F.lit("0"))
+    numbers = lambda found: F.transform(F.transform(found, bare), not_empty)
+
+    def with_uf(found, uf):
+        # a match has no digits but its number's, so it is found once and both are read from it
+        read = F.transform(F.transform(found, lambda m: F.struct(bare(m).alias("d"), uf(m).alias("u"))), lambda x: F.struct(not_empty(x["d"]).alias("n"), x["u"].alias("u")))
+        return F.flatten(F.transform(read, lambda x: F.array(F.concat(x["n"], F.lit("|"), x["u"]), x["n"])))
 
     tst = F.regexp_extract(text, fixed.HEAD_TST, 1)
     tst = F.when(tst != "", tst).otherwise(F.regexp_extract(F.substring(text, 1, fixed.TST_WINDOW), fixed.HEAD_TST_ELSE, 1))
+    # costly patterns meet only headings that have what these must have
     own = F.concat(
-        F.transform(F.filter(F.array(tst), lambda x: x != ""), lambda x: T.number_key(x)), with_uf(head, fixed.HEAD_UF, F.upper),
-        with_uf(F.upper(T.unaccent(head)), fixed.HEAD_STATE, lambda s: states[s]), F.transform(every(head, fixed.HEAD_CNJ, 0), lambda x: T.number_key(x)),
+        only_if(text, fixed.HEAD_CNJ, numbers(F.filter(F.array(tst), lambda x: x != ""))), with_uf(every(head, fixed.HEAD_UF), lambda m: F.upper(F.right(m, F.lit(2)))),
+        only_if(head, fixed.HEAD_STATE_PIECE, with_uf(every(F.upper(T.unaccent(head)), fixed.HEAD_STATE), lambda m: states[F.regexp_extract(m, r"(?U)\s(\p{L}.*)$", 1)])), numbers(every(head, fixed.HEAD_CNJ)),
     )
     # one explode gives both layers, so headings are read once
     marked = lambda keys, layer: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(layer).alias("layer")))
-    k = decisions.select("id", F.array_distinct(own).alias("own"), F.array_distinct(F.transform(every(head, fixed.HEAD_ANY, 1), lambda x: T.number_key(x))).alias("others"))
+    k = decisions.select("id", F.array_distinct(own).alias("own"), F.array_distinct(numbers(every(head, fixed.HEAD_ANY, 1))).alias("others"))
     return k.select("id", F.explode(F.concat(marked(F.col("own"), 0), marked(F.array_except("others", "own"), 1))).alias("k")).select("id", "k.*").where("key <> '0'")
 
 
