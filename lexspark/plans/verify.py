@@ -9,17 +9,15 @@ from lexspark import fixed
 from lexspark.operators.detect import find_candidates
 from lexspark.operators.index import Index
 from lexspark.operators.resolve import resolve
-from lexspark.shared import written
 
 
 def verify(docs: DataFrame, index: Index, diffuse: bool = False, calibrated: bool = False, neutral: tuple[str, ...] = ()) -> DataFrame:
     """docs: (document_id, raw) -> a row a citation, numbered by place, in offsets of the raw text.
 
     Overlaps are settled before the lookups, as texts are read: they don't depend on them,
-    and fewer rows are joined.  The lookups read what is left several times, so it is
-    written first: texts are read once.
+    and fewer rows are joined.  Texts are read once, for ``resolve`` writes what it looks up.
     """
-    found = resolve(written(find_candidates(docs, diffuse, neutral, settled=True)), index, calibrated)
+    found = resolve(find_candidates(docs, diffuse, neutral, settled=True), index, calibrated)
     return found.select(
         "document_id", F.concat(F.lit("c"), "place").alias("citation_id"), F.col("raw_start").alias("start"), F.col("raw_end").alias("end"), F.col("raw_surface").alias("surface"),
         "kind", "verdict", "canonical_id", F.round("confidence", 4).alias("confidence"), "evidence", "signals",
