@@ -156,7 +156,7 @@ def normalise(raw: str | None):
     if raw is None:
         return None
     text, starts, ends = _normalise(raw)
-    return text, *(None if x is None else x.tolist() for x in (starts, ends))
+    return (text, None, None) if starts is None else (text, starts.tolist(), ends.tolist())
 
 
 #: Code points of the texts whose results leave a worker at once: arrays take eight bytes of each.
