@@ -323,7 +323,8 @@ def submission_counts_by_verdict(spark, sf_dir):
 @_query("SELECT o_orderkey::VARCHAR AS document_id, (CASE WHEN o_orderkey % 10 = 9 THEN 0 ELSE 1 END)::INT AS n, '1.2' AS version FROM orders")
 def output_contract(spark, sf_dir):
     c = contract(*_verified(spark, sf_dir))
-    return c.select("document_id", F.size(F.from_json(F.get_json_object("json", "$.citacoes"), "array<struct<id:string>>")).alias("n"), F.get_json_object("json", "$.schema_version").alias("version"))
+    read = c.select("document_id", F.from_json("json", "schema_version string, citacoes array<struct<id:string>>").alias("c"))
+    return read.select("document_id", F.size("c.citacoes").alias("n"), F.col("c.schema_version").alias("version"))
 
 
 @_query(f"""SELECT o_orderkey::VARCHAR AS document_id, p AS problem FROM (SELECT o_orderkey, unnest(CASE o_orderkey % 6 WHEN 0 THEN ['bad span'] WHEN 1 THEN ['unknown verdict', 'id without real'] WHEN 2 THEN ['real without id'] WHEN 3 THEN ['surface differs'] WHEN 4 THEN ['bad confidence'] ELSE [] END) AS p FROM ({_ORDERS}))""")
