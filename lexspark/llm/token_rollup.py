@@ -11,6 +11,7 @@ are the sums of all batches; no document is counted twice to keep them.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 import pyarrow as pa
@@ -78,18 +79,28 @@ class TokenRollup:
         return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
     def _publish(self, content: dict, *parts: str) -> bool:
-        """Make a marker; False if it was there already."""
+        """Make a marker, whole from the start; False if it was there already.
+
+        It is written aside and then takes its name in one step. A local file takes it as a link,
+        since Hadoop's local file system looks first and writes then, and would let two writers in.
+        """
         fs, p = self._path(*parts)
-        fs.mkdirs(p.getParent())
-        try:
-            out = fs.create(p, False)
-        except Exception as e:
-            if fs.exists(p):
-                return False
-            raise e
+        _, aside = self._path("staged", uuid.uuid4().hex)
+        for folder in (p.getParent(), aside.getParent()):
+            fs.mkdirs(folder)
+        out = fs.create(aside, False)
         out.write(json.dumps(content).encode())
         out.close()
-        return True
+        try:
+            written = fs.resolvePath(aside).toUri()
+            if written.getScheme() != "file":
+                return not fs.exists(p) and fs.rename(aside, p)
+            os.link(written.getPath(), os.path.join(fs.resolvePath(p.getParent()).toUri().getPath(), p.getName()))
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(aside, False)
 
     def _markers(self, kind: str) -> dict[str, dict]:
         fs, top = self._path(kind)

@@ -364,6 +364,17 @@ def test_two_writers_of_a_batch(spark, tmp_path):
     assert sum(won) == 1 and [tuple(r) for r in store.totals().collect()] == [("a", "en", "v", 1, 10)]
 
 
+def test_a_marker_is_made_once_however_many_write_it(spark, tmp_path):
+    """A marker has one writer, and is whole when it is seen."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = token_rollup.TokenRollup(spark, f"file://{tmp_path}/store")
+    with ThreadPoolExecutor(8) as pool:
+        for k in range(30):
+            assert sum(pool.map(lambda w, k=k: store._publish({"sums": f"{w}"}, "batches", f"b{k}"), range(8))) == 1
+    assert len(store._markers("batches")) == 30 and not list((tmp_path / "store" / "staged").iterdir())
+
+
 def test_rollup_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "labels"))
